@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from linkforge.llm import simhash
+from linkforge.llm import pii, secrets, simhash
 
 QUERIES = {
+    "op1_secret_scan": secrets.query,
+    "op4_personal_data": pii.query,
     "op5_simhash_near_duplicates": simhash.query,
 }
 ORACLE: dict[str, str] = {}
