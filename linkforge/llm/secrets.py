@@ -148,6 +148,10 @@ def _listed(found, rules: Sequence[Rule]):
     return F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat_ws(":", r.kind, r.start, r.stop)), ",")
 
 
+def _count(key: str):
+    return F.size(F.filter("found", lambda f: f.rule == key)).cast("long")
+
+
 def report(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per document: counts of the base kinds, a digest of their spans, and all spans."""
     base = [r for r in rules if r.base]
@@ -156,7 +160,7 @@ def report(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) ->
     of_base = F.filter("found", lambda f: F.array_contains(keys, f.rule))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("found", lambda f, k=r.key: f.rule == k)).cast("long").alias(f"n_{r.kind}") for r in base],
+        *[_count(r.key).alias(f"n_{r.kind}") for r in base],
         F.sha2(_listed(of_base, base).cast("binary"), 256).alias("base_sha256"),
         _listed(F.col("found"), rules).alias("spans"),
     )
