@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from linkforge.llm import pii, secrets, simhash
+from linkforge.llm import pii, secrets, sharding, simhash, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op4_personal_data": pii.query,
     "op5_simhash_near_duplicates": simhash.query,
+    "op8_virtual_slot_sharding": sharding.query,
+    "op10_exact_top_k": topk.query,
+}
+ORACLE: dict[str, str] = {
+    "op10_exact_top_k": topk.ORACLE,
 }
-ORACLE: dict[str, str] = {}
