@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from linkforge.llm import pii, secrets, sharding, simhash, topk
+from linkforge.llm import mixing, packing, pii, secrets, sharding, simhash, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_source_mixing": mixing.query,
+    "op3_bin_completion_packing": packing.query,
     "op4_personal_data": pii.query,
     "op5_simhash_near_duplicates": simhash.query,
     "op8_virtual_slot_sharding": sharding.query,
