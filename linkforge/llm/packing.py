@@ -32,7 +32,8 @@ LENGTH = 1024
 END = 2
 NODES = 4000
 WIDTH = 6
-CHUNK = 32_768
+#: Pieces of one length that are numbered together.
+CHUNK = 512
 
 
 def default_tokenizer() -> str:
@@ -273,8 +274,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
             taken[i] += times
             at += i
         sequence += times
-    chunks = max(1, -(-int(counts.sum()) // CHUNK))
-    own = cuts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)))
+    chunks = F.get(F.lit([max(1, -(-int(c) // CHUNK)) for c in counts]), F.col("length").cast("int"))
+    own = cuts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), chunks))
     firsts = own.groupBy("length", "chunk").count()
     firsts = firsts.withColumn("first", F.sum("count").over(Window.partitionBy("length").orderBy("chunk")) - F.col("count")).drop("count")
     rank = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
