@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from linkforge.llm import embeddings, html_text, mixing, packing, pii, secrets, sharding, simhash, topk, toxicity
 
 QUERIES = {
@@ -15,8 +16,11 @@ QUERIES = {
     "op8_virtual_slot_sharding": sharding.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_top_k": topk.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
     "op6_embedding_near_duplicates": embeddings.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

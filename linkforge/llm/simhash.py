@@ -60,9 +60,9 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text."""
+    """(doc_id, content, fp): the fingerprint of every row's whole text."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_texts(docs, lambda t: (fingerprint(t),), [doc_id], text, f"`{doc_id}` {kind}, fp long", ["fp"], [pa.int64()])
+    return map_texts(docs, lambda t: (fingerprint(t),), [doc_id, "content"], text, f"`{doc_id}` {kind}, content long, fp long", ["fp"], [pa.int64()])
 
 
 def key_column(fp: Column, blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
@@ -183,19 +183,34 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = B
     return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, fp, component_id), the smallest id of its class."""
-    prints = cut(fingerprints(docs, doc_id, text), "prints")
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, content (a hash of the text), fp, class_fp and component_id.
+
+    ``class_fp`` names the class (its smallest fingerprint), ``component_id`` is its smallest id.
+    """
+    prints = cut(fingerprints(docs.withColumn("content", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), doc_id, text), "prints")
     distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("low")), "distinct")
     nodes = connected_components(fingerprint_links(distinct, radius), "a", "b")
-    nodes = cut(nodes.join(distinct, nodes.node == distinct.fp).select("fp", "component", "low"), "nodes")
-    lows = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = nodes.join(lows, "component").select("fp", "component_id")
-    classes = cut(
-        distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")),
-        "classes",
-    )
-    return prints.join(classes, "fp", "left").select(doc_id, "fp", "component_id")
+    nodes = cut(nodes.join(distinct, nodes.node == distinct.fp).select("fp", F.col("component").alias("class_fp"), "low"), "nodes")
+    lows = nodes.groupBy("class_fp").agg(F.min("low").alias("component_id"))
+    linked = nodes.join(lows, "class_fp").select("fp", "class_fp", "component_id")
+    of = distinct.join(linked, "fp", "left")
+    of = cut(of.select("fp", F.coalesce("class_fp", "fp").alias("class_fp"), F.coalesce("component_id", "low").alias("component_id")), "classes")
+    return prints.join(of, "fp", "left").select(doc_id, "content", "fp", "class_fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, fp, component_id), the smallest id of its class."""
+    return classes(docs, doc_id, text, radius).select(doc_id, "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each class: the one of the smallest id (rows without an id last)."""
+    first = F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), "content")
+    best = classes(docs, doc_id, text, radius).groupBy("class_fp").agg(F.min(first).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.content").alias("_content"))
+    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    kept = docs.join(best, F.col(doc_id).eqNullSafe(F.col("_id")) & (content == F.col("_content")))
+    return kept.dropDuplicates(["_id", "_content"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
