@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Bytes of an Arrow batch; a longer single text travels alone.
+BATCH_BYTES = 8 << 20
+_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keep Arrow batches small enough that long texts don't fill a Python worker."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(_CONF)) or 1 << 62) > BATCH_BYTES:
+        conf.set(_CONF, str(BATCH_BYTES))
+    return df
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches, giving memory back at a task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, fn: Callable[[str], tuple], keep: list[str], text: str, schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
     """Columns ``keep`` beside the columns ``names`` that ``fn`` gives for each row's whole text.
 
@@ -23,7 +47,7 @@ def map_texts(df: DataFrame, fn: Callable[[str], tuple], keep: list[str], text:
             cols += [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[] for _ in names], types, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep, text), run, schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:

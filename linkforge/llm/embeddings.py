@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.arrow import forest, runs
+from linkforge.llm.arrow import forest, map_arrow, runs
 from linkforge.operators.components import connected_components
 from linkforge.runtime import cut
 
@@ -107,7 +107,7 @@ def assign_cells(nodes: DataFrame, centres: dict[int, np.ndarray], margin: float
                 for a in range(0, len(row), 8192):
                     yield pa.RecordBatch.from_arrays([x.slice(a, 8192) for x in cols], names=["label", "dim", "cell", "node", "times", "home", "visits", "v"])
 
-    return nodes.mapInArrow(run, f"label {kind}, dim int, cell int, node long, times long, home int, visits array<int>, v {inner}")
+    return map_arrow(nodes, run, f"label {kind}, dim int, cell int, node long, times long, home int, visits array<int>, v {inner}")
 
 
 def _compare(t: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -175,7 +175,7 @@ def cell_links(placed: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) ->
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(count, pa.int64())], names=["a", "b", "n"])
 
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, n long")
+    return map_arrow(dealt.repartition(*order).sortWithinPartitions(*order), run, "a long, b long, n long")
 
 
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, margin: float = MARGIN, cell_rows: int = CELL_ROWS) -> DataFrame:

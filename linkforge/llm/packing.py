@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkforge.llm.arrow import map_arrow
 from linkforge.runtime import cut
 
 LENGTH = 1024
@@ -106,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return map_arrow(docs.select(doc_id, text), run, schema)
 
 
 # --- the plan, on the histogram of lengths ---------------------------------------------------

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.arrow import map_texts
+from linkforge.llm.arrow import map_texts, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -277,7 +277,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def redact_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with identifiers masked in ``text`` (null stays null) and ``n_chars`` brought up to date."""
     mask = F.pandas_udf(lambda s: s.map(lambda t: redact(t) if t else t), "string")
-    out = docs.withColumn(text, mask(F.col(text)))
+    out = small_batches(docs).withColumn(text, mask(F.col(text)))
     return out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkforge.llm.arrow import map_arrow
 from linkforge.runtime import cut
 
 Spans = list[tuple[int, int]]
@@ -118,7 +119,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequenc
                 found.append([{"rule": k, "start": a, "stop": b} for k, a, b in hits])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, _FOUND)], names=["blob", "scanned", "found"])
 
-    return unseen(docs, ledger, rules, text).mapInArrow(run, LEDGER_SCHEMA)
+    return map_arrow(unseen(docs, ledger, rules, text), run, LEDGER_SCHEMA)
 
 
 def update_ledger(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.arrow import forest, map_texts, runs
+from linkforge.llm.arrow import forest, map_arrow, map_texts, runs
 from linkforge.operators.components import connected_components
 from linkforge.runtime import cut
 
@@ -180,7 +180,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = B
                 yield pa.RecordBatch.from_arrays([pa.array(fps[a].view(np.int64)), pa.array(fps[b].view(np.int64))], names=["a", "b"])
 
     order = ["table", "bits", "x", "y"]
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return map_arrow(cells.repartition(*order).sortWithinPartitions(*order), run, "a long, b long")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkforge.llm.arrow import map_arrow
 from linkforge.runtime import cut
 
 K = 10
@@ -126,7 +127,7 @@ def _pass(candidates: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray
         for b in (b for own in best.values() for b in own):
             yield b.batch()
 
-    return candidates.mapInArrow(run, SCHEMA)
+    return map_arrow(candidates, run, SCHEMA)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, pass_bytes: int = PASS_BYTES) -> DataFrame:
