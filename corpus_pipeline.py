@@ -17,7 +17,8 @@ from linkforge.runtime import cut
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's rejection threshold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.threshold(model)).select(*docs.columns)
+    scored = toxicity.score(docs, model, "__linkforge_score")
+    return scored.where(F.col("__linkforge_score") < toxicity.threshold(model)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

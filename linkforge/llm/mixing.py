@@ -36,6 +36,8 @@ SEED = 20_240_601
 CHUNK = 8192
 _CELLS = 2048
 _LOW = 1 << 20
+#: Beginning of names that no table of documents has.
+_OWN = "__linkforge_"
 getcontext().prec = 60
 _PHI = (Decimal(5).sqrt() - 1) / 2
 #: Golden-ratio steps of one slot and of 2^20 slots, so that points stay exact for large slot numbers.
@@ -166,10 +168,10 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     """
     got = taken(docs, doc_id, source, text).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("rows"))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("t") / (F.col("rows") * F.greatest("size", F.lit(1))))).cast("int")
-    got = got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies.alias("_copies")).where("_copies > 0")
+    got = got.select(F.col("doc_id").alias(_OWN + "id"), F.col("source").alias(_OWN + "source"), F.col("size").alias(_OWN + "size"), copies.alias(_OWN + "copies")).where(F.col(_OWN + "copies") > 0)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    return docs.join(got, same).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    same = F.col(doc_id).eqNullSafe(F.col(_OWN + "id")) & F.col(source).eqNullSafe(F.col(_OWN + "source")) & (size == F.col(_OWN + "size"))
+    return docs.join(got, same).withColumn(_OWN + "copy", F.explode(F.array_repeat(F.lit(1), F.col(_OWN + "copies")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def assign(weights: Weights, shards: int = SHARDS) -> Assignment:
     return out
 
 
-def rebalance(weights: Weights, old: Assignment, shards: int, tolerance: float = 0.02) -> Assignment:
+def rebalance(weights: Weights, old: Assignment, shards: int, tolerance: float = 0.003) -> Assignment:
     """An edited map: slots move only out of shards above the fair share, into those below it."""
     out = {k: old[k] for k in old if old[k] < shards}
     load = defaultdict(int)
@@ -90,12 +90,13 @@ def rebalance(weights: Weights, old: Assignment, shards: int, tolerance: float =
     fair = sum(w[0] for w in weights.values()) / max(1, shards)
     loose = [k for k in weights if k not in out]
     for s in sorted(held):
-        for k in sorted(held[s], key=lambda k: (weights.get(k, (0, 0))[0], k)):
+        for k in sorted(held[s], key=lambda k: (-weights.get(k, (0, 0))[0], k)):  # the largest that fit, so few move
             w = weights.get(k, (0, 0))[0]
-            if load[s] <= fair * (1 + tolerance) or load[s] - w < fair * (1 - tolerance):
+            if load[s] <= fair * (1 + tolerance):
                 break
-            load[s] -= w
-            loose.append(k)
+            if load[s] - w >= fair * (1 - tolerance):
+                load[s] -= w
+                loose.append(k)
     heap = [(load[s], s) for s in range(shards)]
     heapq.heapify(heap)
     for k in sorted(loose, key=lambda k: (-weights.get(k, (0, 0))[0], k)):

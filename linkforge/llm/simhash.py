@@ -35,6 +35,8 @@ BLOCKS = 5
 CHUNK = 2048
 #: Rows that one bit-sliced pass takes together.
 PASS_ROWS = 32_768
+#: Names that no table of documents has.
+_ID, _CONTENT = "__linkforge_id", "__linkforge_content"
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -188,7 +190,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
 
     ``class_fp`` names the class (its smallest fingerprint), ``component_id`` is its smallest id.
     """
-    prints = cut(fingerprints(docs.withColumn("content", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), doc_id, text), "prints")
+    prints = cut(fingerprints(docs.select(doc_id, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"), text), doc_id, text), "prints")
     distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("low")), "distinct")
     nodes = connected_components(fingerprint_links(distinct, radius), "a", "b")
     nodes = cut(nodes.join(distinct, nodes.node == distinct.fp).select("fp", F.col("component").alias("class_fp"), "low"), "nodes")
@@ -207,10 +209,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each class: the one of the smallest id (rows without an id last)."""
     first = F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), "content")
-    best = classes(docs, doc_id, text, radius).groupBy("class_fp").agg(F.min(first).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.content").alias("_content"))
+    best = classes(docs, doc_id, text, radius).groupBy("class_fp").agg(F.min(first).alias("best")).select(F.col("best.id").alias(_ID), F.col("best.content").alias(_CONTENT))
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.join(best, F.col(doc_id).eqNullSafe(F.col("_id")) & (content == F.col("_content")))
-    return kept.dropDuplicates(["_id", "_content"]).select(*docs.columns)
+    kept = docs.join(best, F.col(doc_id).eqNullSafe(F.col(_ID)) & (content == F.col(_CONTENT)))
+    return kept.dropDuplicates([_ID, _CONTENT]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
