@@ -11,7 +11,7 @@ from linkforge import oracle as o
 from linkforge.functions import address, text
 from linkforge.operators import blocking, candidates, diagnose, features, metrics, persist, postings, quality, sampling, validate
 from linkforge.plans.spec import Strategy, absorb, compile_strategy
-from linkforge.runtime import new_path
+from linkforge.runtime import cut, new_path
 from linkforge.sources.fixtures import fixture
 from linkforge.sources.tables import result_lists, truth_edges
 
@@ -204,7 +204,8 @@ _STAGES = {
 
 
 def stages(spark, d, n: int = 2) -> dict[str, DataFrame]:
-    a, b = entities(spark, d, 1), entities(spark, d, n)
+    """The stages' edges, over entities that are normalised once."""
+    a, b = cut(entities(spark, d, 1), "s1"), cut(entities(spark, d, n), "target")
     return {k: compile_strategy(s, a, b) for k, s in _STAGES.items()}
 
 

@@ -59,8 +59,22 @@ def with_fixtures(body: str, *more: str) -> str:
     return "with recursive " + ",\n".join([*head, *more]) + "\n" + body
 
 
+_plans: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the fixture tables as a DataFrame."""
+    """One of the fixture tables as a DataFrame; its analysed plan (no data) is kept per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _plans:
+        for old in [k for k in _plans if k[0] != key[0]]:
+            del _plans[old]
+        _plans[key] = {}
+    if name not in _plans[key]:
+        _plans[key][name] = _fixture(spark, sf_dir, name)
+    return _plans[key][name]
+
+
+def _fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "orders")}
     for t in ("er_base",) if name not in ("er_base", "er_truth") else ():
         tables[t] = fixture(spark, sf_dir, t)
