@@ -65,7 +65,7 @@ def detect(text: str) -> list[Span]:
     """Base identifiers of a text, kind by kind, leftmost and non-overlapping within a kind."""
     found = [("email", a, b) for a, b in _emails(text)]
     if "." in text:
-        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):

@@ -105,6 +105,12 @@ def test_plain_text_is_left_alone(text):
     assert pii.find(text) == ([], []) and pii.redact(text) == text
 
 
+def test_long_runs_of_zeros_in_an_address_part():
+    part = "0" * 5000
+    assert pii.detect(f"{part}1.2.3.4") == [("ip", 0, 5007)]
+    assert pii.detect(f"{part}.2.3.4")[0][0] == "ip" and not [s for s in pii.detect(f"{part}256.2.3.4") if s[0] == "ip"]
+
+
 def test_pieces_map_boundaries():
     p = pii.Pieces("ab cd ef")
     p.rewrite(re.compile("cd"), lambda m: "X")
