@@ -6,16 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Slices of the hash range that a stratum is ranked in: two to this power.
+SLICE_BITS = 12
+
 
 def _by(seed: int, key: str) -> list:
     return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
 
 
 def stratified(rows: DataFrame, strata: list[str], fraction: float, key: str, seed: int = 42) -> DataFrame:
-    """``round(fraction * n)`` rows of every stratum, half to even."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*_by(seed, key)))
-    return rows.withColumn("_n", n).withColumn("_place", place).where(F.col("_place") <= F.bround(F.lit(fraction) * F.col("_n"))).drop("_n", "_place")
+    """``round(fraction * n)`` rows of every stratum, half to even.
+
+    Ranks are taken in two levels, by slice of the hash range and then within the slice, so that a
+    stratum of very many rows is never sorted in one task. A null stratum is one of its own.
+    """
+    at = F.xxhash64(F.lit(seed), F.col(key))
+    sliced = rows.withColumn("_at", at).withColumn("_slice", F.shiftright("_at", 64 - SLICE_BITS))
+    sizes = sliced.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    whole, upto = Window.partitionBy(*strata), Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.bround(F.lit(fraction) * F.sum("_n").over(whole)) - F.coalesce(F.sum("_n").over(upto), F.lit(0))
+    sizes = sizes.withColumn("_take", wanted).where("_take > 0").select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_slice").alias("_of"), "_take")
+    same = F.col("_slice") == F.col("_of")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    place = F.row_number().over(Window.partitionBy(*strata, "_slice").orderBy("_at", key))
+    return sliced.join(sizes, same).withColumn("_place", place).where("_place <= _take").select(*rows.columns)
 
 
 def simple(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

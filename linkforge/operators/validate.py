@@ -6,16 +6,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkforge.functions.text import source_of
 
+#: Examples shown of a broken rule.
+EXAMPLES = 5
 HEADERS = {"matching": ("source1_entity_id", "matched_entity_ids"), "candidates": ("source1_entity_id", "candidate_entity_ids")}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): raw lines numbered from 1 in file order."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0]))
-    return spark.createDataFrame(numbered, "line_no long, value string")
+    """(line_no, value): raw lines numbered from 1 in file order.
+
+    Row ids rise without gaps within a split of a file, so a line's number is its place in its split
+    behind the lines of all splits before it; only one row per split is summed up in order.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("before", before).drop("n")
+    return lines.join(splits, ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -25,10 +35,23 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return own.withColumn("s1_id", F.trim(F.get("fields", F.lit(0)))).withColumn("ids", listed)
 
 
-def _issue(rows: DataFrame, rule: str, level: str, what: Column) -> DataFrame:
-    """(rule, level, n, examples): how often a rule is broken, with five examples."""
-    out = rows.select(what.cast("string").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.when(F.length("x") < 200, F.col("x")))), 1, 5).alias("e"))
-    return out.where("n > 0").select(F.lit(rule).alias("rule"), F.lit(level).alias("level"), "n", F.array_join("e", "|").alias("examples"))
+def _broken(rows: DataFrame, rule: str, level: str, what: Column) -> DataFrame:
+    """(rule, level, x): one row for every time that a rule is broken."""
+    return rows.select(F.lit(rule).alias("rule"), F.lit(level).alias("level"), what.cast("string").alias("x"))
+
+
+def _issues(broken: list[DataFrame]) -> DataFrame:
+    """(rule, level, n, examples): how often each rule is broken, with its first five examples.
+
+    Equal examples are counted before anything else, and a rule keeps five of them from every
+    partition, so no task holds all that breaks a rule.
+    """
+    per = reduce(DataFrame.unionAll, broken).groupBy("rule", "level", "x").agg(F.count(F.lit(1)).alias("n"))
+    total = per.groupBy("rule", "level").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("rule").orderBy("x"))
+    first = per.where(F.length("x") < 200).select("rule", "x", place.alias("place")).where(F.col("place") <= EXAMPLES)
+    first = first.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("x")), "|").alias("examples"))
+    return total.join(first, "rule", "left").select("rule", "level", "n", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def list_issues(lines: DataFrame, kind: str, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -46,19 +69,19 @@ def list_issues(lines: DataFrame, kind: str, required: DataFrame, known: DataFra
     per = shaped.select("line_no", "s1_id", F.explode("ids").alias("id")).groupBy("line_no", "s1_id", "id").count()
     need = required.select("s1_id").distinct()
     out = [
-        _issue(first.where(comma), "comma_separated", "error", F.col("value")),
-        _issue(first.where(~good & ~comma), "wrong_header", "error", F.col("value")),
-        _issue(body.where(F.size("fields") != 2), "malformed_row", "error", F.col("line_no")),
-        _issue(last.where("n > 1"), "repeated_s1_row", "error", F.col("s1_id")),
-        _issue(per.where("count > 1"), "repeated_id_in_list", "error", F.col("id")),
-        _issue(flat.where("s1_id = id"), "self_match", "error", F.col("id")),
-        _issue(flat.where(~source_of(F.col("id")).isin("S2", "S3")), "wrong_prefix", "error", F.col("id")),
-        _issue(need.join(last, "s1_id", "left_anti"), "missing_s1", "error", F.col("s1_id")),
-        _issue(last.join(need, "s1_id", "left_anti"), "extra_s1", "error", F.col("s1_id")),
+        _broken(first.where(comma), "comma_separated", "error", F.col("value")),
+        _broken(first.where(~good & ~comma), "wrong_header", "error", F.col("value")),
+        _broken(body.where(F.size("fields") != 2), "malformed_row", "error", F.col("line_no")),
+        _broken(last.where("n > 1"), "repeated_s1_row", "error", F.col("s1_id")),
+        _broken(per.where("count > 1"), "repeated_id_in_list", "error", F.col("id")),
+        _broken(flat.where("s1_id = id"), "self_match", "error", F.col("id")),
+        _broken(flat.where(~source_of(F.col("id")).isin("S2", "S3")), "wrong_prefix", "error", F.col("id")),
+        _broken(need.join(last, "s1_id", "left_anti"), "missing_s1", "error", F.col("s1_id")),
+        _broken(last.join(need, "s1_id", "left_anti"), "extra_s1", "error", F.col("s1_id")),
     ]
     if known is not None:
-        out.append(_issue(flat.join(known.select(F.col("entity_id").alias("id")), "id", "left_anti"), "unknown_id", "error", F.col("id")))
-    return reduce(DataFrame.unionAll, out)
+        out.append(_broken(flat.join(known.select(F.col("entity_id").alias("id")), "id", "left_anti"), "unknown_id", "error", F.col("id")))
+    return _issues(out)
 
 
 def last_lists(lines: DataFrame) -> DataFrame:
@@ -69,4 +92,5 @@ def last_lists(lines: DataFrame) -> DataFrame:
 
 def not_candidates(matching: DataFrame, candidates: DataFrame) -> DataFrame:
     """Warning row for matched ids outside the candidates."""
-    return _issue(last_lists(matching).join(last_lists(candidates), ["s1_id", "target_id"], "left_anti"), "match_not_candidate", "warning", F.col("target_id"))
+    outside = last_lists(matching).join(last_lists(candidates), ["s1_id", "target_id"], "left_anti")
+    return _issues([_broken(outside, "match_not_candidate", "warning", F.col("target_id"))])

@@ -73,6 +73,30 @@ def test_validator_rules(spark, tmp_path):
     assert validate.not_candidates(lines, bad).first()["level"] == "warning"
 
 
+def test_line_numbers_over_splits_and_files(spark, tmp_path):
+    want = []
+    for name in ("a.tsv", "b.tsv"):
+        rows = [f"{name}-{i}" * (i % 5) for i in range(4000)]
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+        want += rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = validate.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["value"] for r in sorted(got, key=lambda r: r["line_no"])] == want
+    assert sorted(r["line_no"] for r in got) == list(range(1, len(want) + 1))
+
+
+def test_examples_of_broken_rules_are_few_and_first(spark):
+    need = spark.range(50).select(F.format_string("S1-%02d", "id").alias("s1_id"))
+    head = spark.createDataFrame([(1, "source1_entity_id\tmatched_entity_ids")], "line_no long, value string")
+    row = validate.list_issues(head, "matching", need).first()
+    assert (row["rule"], row["n"], row["examples"]) == ("missing_s1", 50, "S1-00|S1-01|S1-02|S1-03|S1-04")
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(4)
     for n, m in ((1, 0), (40, 30), (60, 59), (200, 150)):
@@ -100,6 +124,18 @@ def test_samples_are_stable(spark):
     assert sampling.simple(rows, 10, "k").count() == 10 and sampling.per_group(rows, "g", 4, "k").count() == 12
 
 
+def test_stratified_sample_follows_the_hash_order(spark):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 2).alias("g"))
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(42), F.col("k"))).collect()
+    want = set()
+    for g in (None, 0, 1):
+        own = sorted((r["h"], r["k"]) for r in hashed if r["g"] == g)
+        want |= {k for _, k in own[: round(0.3 * len(own))]}
+    got = sampling.stratified(rows, ["g"], 0.3, "k")
+    assert got.columns == rows.columns and {r["k"] for r in got.collect()} == want
+    assert sampling.stratified(rows.limit(0), ["g"], 0.3, "k").count() == 0
+
+
 def test_diagnosis_precedence(spark):
     schema = "entity_id string, business_name string, business_address string, country string"
     cases = [
