@@ -1,5 +1,6 @@
-"""Command line: ``python -m linkforge query NAME SF_DIR [--output PATH]`` and
-``python -m linkforge validate -m MATCHING -s S1 [-c CANDIDATES] [-t TARGET]``.
+"""Command line: ``python -m linkforge query NAME SF_DIR [--output PATH]``,
+``python -m linkforge validate -m MATCHING -s S1 [-c CANDIDATES] [-t TARGET]`` and
+``python -m linkforge evaluate KIND --s1 S1 --s2 S2 --s3 S3 --truth TRUTH --output FILE``.
 
 ``validate`` prints every broken rule and ends with 1 if one of them is an error.
 """
@@ -12,7 +13,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge import queries
+from linkforge import evaluations, queries
 from linkforge.operators import validate
 from linkforge.sources.tables import read_ids
 
@@ -45,12 +46,26 @@ def main(args: list[str] | None = None) -> int:
     check.add_argument("-s", "--s1", required=True)
     check.add_argument("-c", "--candidates")
     check.add_argument("-t", "--targets", nargs="*", help="tables of known target ids")
+    measure = commands.add_parser("evaluate", help="evaluate blocking over headed TSV tables")
+    measure.add_argument("kind", choices=list(evaluations.KINDS))
+    for name in ("s1", "s2", "s3", "truth", "output"):
+        measure.add_argument(f"--{name}", required=True)
+    measure.add_argument("--validation-fraction", type=float, default=0.2)
+    measure.add_argument("--sample-size", type=int, help="pairs that normalization and errors look at")
+    measure.add_argument("--seed", type=int, default=42)
     own = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if own.command == "query":
         result = queries.QUERIES[own.name](spark, own.sf_dir)
         result.write.parquet(own.output) if own.output else result.show(50, truncate=False)
         return 0
+    if own.command == "evaluate":
+        options = {"seed": own.seed} | ({"fraction": own.validation_fraction} if own.kind != "normalization" else {})
+        if own.sample_size is not None and own.kind in ("normalization", "errors"):
+            options["sample"] = own.sample_size
+        data = evaluations.read_data(spark, own.s1, own.s2, own.s3, own.truth)
+        evaluations.write_json(evaluations.KINDS[own.kind](data, **options), own.output)
+        return 0
     rows = issues(spark, own.matching, own.s1, own.candidates, own.targets).collect()  # a row per rule
     for r in rows:
         print(f"{r['level']}: {r['list']}: {r['rule']}: {r['n']} ({r['examples']})")

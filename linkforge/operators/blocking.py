@@ -72,19 +72,24 @@ def postal_and_number(s1: DataFrame, target: DataFrame, number_cap: int | None,
     return combine([shared_key(s1, target, "postal", country_aware, postal_cap), shared_key(s1, target, "number", country_aware, number_cap)], how)
 
 
-def sweep(s1: DataFrame, target: DataFrame, family: str, caps: list[int], country_aware: bool = True) -> DataFrame:
-    """(cap, pairs, entities): candidates at every cap from one join.
+def least_frequency(s1: DataFrame, target: DataFrame, family: str, cap: int, country_aware: bool = True) -> DataFrame:
+    """(s1_id, target_id, least): edges up to a cap with the smallest frequency of their shared keys.
 
-    Each edge carries the smallest frequency of its shared keys, so it is there from that cap on.
+    An edge is there at every cap from ``least`` on, so one join serves all caps up to ``cap``.
     """
     right = postings(target, family)
-    right = capped(right, frequencies(right), max(caps))
+    right = capped(right, frequencies(right), cap)
     if country_aware:
         right = right.where("country <> ''")
     on = ["country", "key"] if country_aware else ["key"]
     left = postings(s1, family).withColumnRenamed("id", "s1_id")
     edges = left.select("s1_id", *on).join(right.withColumnRenamed("id", "target_id").select("target_id", "freq", *on), on)
-    least = edges.groupBy("s1_id", "target_id").agg(F.min("freq").alias("least"))
+    return edges.groupBy("s1_id", "target_id").agg(F.min("freq").alias("least"))
+
+
+def sweep(s1: DataFrame, target: DataFrame, family: str, caps: list[int], country_aware: bool = True) -> DataFrame:
+    """(cap, pairs, entities): candidates at every cap from one join."""
+    least = least_frequency(s1, target, family, max(caps), country_aware)
     at = least.withColumn("cap", F.explode(F.array(*[F.lit(c) for c in caps]))).where(F.col("least") <= F.col("cap"))
     per = at.groupBy("cap", "s1_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("cap").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("entities"))

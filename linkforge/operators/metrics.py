@@ -53,9 +53,20 @@ def stage_metrics(universe: DataFrame, truth: DataFrame, target: DataFrame, stag
     """One row of metrics per stage, or per union of the stages so far; one aggregation for all."""
     names = list(stages)
     flags = {n: upto(i) if cumulative else F.col("stages").bitwiseAND(F.lit(1 << i).cast("long")) != 0 for i, n in enumerate(names)}
+    return _metric_rows(universe, truth, target, tag(list(stages.values())), flags)
+
+
+def _metric_rows(universe: DataFrame, truth: DataFrame, target: DataFrame, tagged: DataFrame, flags: dict[str, Column]) -> DataFrame:
     size = target.agg(F.count(F.lit(1)).alias("targets"))
-    per = _per_entity(universe, truth, tag(list(stages.values())), flags).crossJoin(F.broadcast(size))  # a single row
-    return per.agg(F.array(*[_figures(n, F.col("targets")) for n in names]).alias("m")).select(F.inline("m"))
+    per = _per_entity(universe, truth, tagged, flags).crossJoin(F.broadcast(size))  # a single row
+    return per.agg(F.array(*[_figures(n, F.col("targets")) for n in flags]).alias("m")).select(F.inline("m"))
+
+
+def cap_metrics(universe: DataFrame, truth: DataFrame, target: DataFrame, edges: DataFrame, caps: list[int], name: str = "run") -> DataFrame:
+    """One row of metrics per frequency cap of ``edges`` (s1_id, target_id, least), from one join."""
+    bits = sum((F.when(F.col("least") <= c, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(caps)), F.lit(0).cast("long"))
+    flags = {f"{name}_freq{c}": F.col("stages").bitwiseAND(F.lit(1 << i).cast("long")) != 0 for i, c in enumerate(caps)}
+    return _metric_rows(universe, truth, target, edges.select("s1_id", "target_id", bits.alias("stages")), flags)
 
 
 def blocking_metrics(universe: DataFrame, truth: DataFrame, target: DataFrame, edges: DataFrame, name: str = "run") -> DataFrame:

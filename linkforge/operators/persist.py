@@ -9,33 +9,87 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.operators.candidates import candidate_order, counts
+from linkforge.operators.postings import keys
 
-SCHEMA_VERSION = "candidates-v1"
-REASONS = ("has_candidates", "zero_candidates_missing_signals", "zero_candidates_no_matching_index_keys")
+SCHEMA_VERSION = "candidates-v2"
+SIGNALS = "struct<name:boolean,address_token:boolean,postal:boolean,number:boolean,country:boolean>"
+REASONS = ("has_candidates", "zero_candidates_missing_signals", "zero_candidates_no_matching_index_keys", "zero_candidates_filtered_or_invalid_keys")
+COVERAGE = ("has_candidates_complete_entity_coverage", "has_candidates_incomplete_entity_coverage", "coverage_unknown")
 
 
-def edge_table(edges: DataFrame, stage: str, target_source: str, threshold: int | None) -> DataFrame:
+def families_of(stages: Column, names: list[str]) -> Column:
+    """Names of the stages whose bits are set, in order."""
+    return F.filter(F.array(*[F.when(stages.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
+
+
+def availability(prepared: DataFrame) -> DataFrame:
+    """(s1_id, signals): which kinds of keys an entity has, as a struct of booleans."""
+    kinds = ("name", "address_token", "postal", "number")
+    has = [F.exists(keys(k), lambda x: x != "").alias(k) for k in kinds]
+    return prepared.select(F.col("entity_id").alias("s1_id"), F.struct(*has, (F.col("country_clean") != "").alias("country")).alias("signals"))
+
+
+def edge_table(edges: DataFrame, stage: str, target_source: str, threshold: int | None, split_id: str | None = None, names: list[str] | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """Candidate rows with their order and provenance.
+
+    ``edges`` may carry ``stages`` bits; ``names`` then tells the blocking family of each bit, and
+    without them the stage is the only family. ``signals`` (s1_id, signals) comes from ``availability``.
+    """
     if target_source not in ("S2", "S3"):
         raise ValueError(f"target must be S2 or S3: {target_source}")
-    out = candidate_order(edges.select("s1_id", "target_id").distinct())
-    return out.select(F.lit(target_source).alias("target_source"), "s1_id", "target_id", F.lit(stage).alias("stage_id"), F.lit(threshold).cast("int").alias("threshold"), "candidate_order")
+    if names:
+        own = edges.groupBy("s1_id", "target_id").agg(F.bit_or("stages").alias("stages"))
+        own = own.select("s1_id", "target_id", families_of(F.col("stages"), names).alias("blocking_families"))
+    else:
+        own = edges.select("s1_id", "target_id").distinct().withColumn("blocking_families", F.array(F.lit(stage)))
+    if signals is not None:
+        own = own.join(signals.select("s1_id", "signals"), "s1_id", "left")
+    else:
+        own = own.withColumn("signals", F.lit(None).cast(SIGNALS))
+    out = candidate_order(own)
+    return out.select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(split_id).cast("string").alias("split_id"), F.lit(target_source).alias("target_source"), "s1_id", "target_id",
+        F.lit(stage).alias("stage_id"), F.lit(threshold).cast("int").alias("threshold"), "blocking_families", F.col("signals").alias("signal_availability"), "candidate_order",
+    )
 
 
-def manifest_table(universe: DataFrame, edges: DataFrame, target_source: str, with_signal: DataFrame | None = None) -> DataFrame:
-    """One row per S1 entity: its candidates, and why it has none."""
+def manifest_table(universe: DataFrame, edges: DataFrame, target_source: str, with_signal: DataFrame | None = None, with_match: DataFrame | None = None) -> DataFrame:
+    """One row per S1 entity: its candidates, and why it has none.
+
+    ``with_signal`` lists the entities (id) that have a key, ``with_match`` those that share one with
+    the target before caps and countries take any away; without them that reason is not told apart.
+    """
     out = counts(universe, edges.select("s1_id", "target_id").distinct()).withColumn("target_source", F.lit(target_source))
-    if with_signal is not None:
-        out = out.join(with_signal.select(F.col("id").alias("s1_id"), F.lit(True).alias("signal")).distinct(), "s1_id", "left")
-    else:
-        out = out.withColumn("signal", F.lit(True))
-    reason = F.when(F.col("candidates") > 0, REASONS[0]).when(F.col("signal").isNull(), REASONS[1]).otherwise(REASONS[2])
+    for name, ids, absent in (("signal", with_signal, True), ("match", with_match, False)):
+        if ids is None:
+            out = out.withColumn(name, F.lit(absent))
+        else:
+            out = out.join(ids.select(F.col("id").alias("s1_id"), F.lit(True).alias(name)).distinct(), "s1_id", "left").fillna(False, [name])
+    reason = F.when(F.col("candidates") > 0, REASONS[0]).when(~F.col("signal"), REASONS[1]).when(F.col("match"), REASONS[3]).otherwise(REASONS[2])
     return out.select("target_source", "s1_id", F.col("candidates").alias("candidate_count"), (F.col("candidates") > 0).alias("has_candidates"), reason.alias("reason"))
 
 
+def coverage(manifest: DataFrame, edges: DataFrame, truth: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """(s1_id, candidate_count, truth, recovered, state): evaluation only, never an input of a matcher.
+
+    Entities without candidates keep their reason; the others are covered wholly or in part, or
+    unknown where ``labelled`` (s1_id) lists the entities that have labels and leaves them out.
+    """
+    hits = truth.select("s1_id", "target_id").distinct().join(edges.select("s1_id", "target_id", F.lit(1).alias("hit")).distinct(), ["s1_id", "target_id"], "left")
+    per = hits.groupBy("s1_id").agg(F.count(F.lit(1)).alias("truth"), F.count("hit").alias("recovered"))
+    out = manifest.join(per, "s1_id", "left").fillna(0, ["truth", "recovered"])
+    if labelled is not None:
+        out = out.join(labelled.select("s1_id", F.lit(True).alias("known")).distinct(), "s1_id", "left").fillna(False, ["known"])
+    else:
+        out = out.withColumn("known", F.lit(True))
+    state = F.when(~F.col("has_candidates"), F.col("reason")).when(~F.col("known"), COVERAGE[2]).when(F.col("recovered") == F.col("truth"), COVERAGE[0]).otherwise(COVERAGE[1])
+    return out.select("s1_id", "candidate_count", "truth", "recovered", state.alias("state"))
+
+
 def line(columns: list[str]):
     """Canonical JSON of a row: keys in order, nulls kept."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
@@ -48,23 +102,27 @@ def checksum(table: DataFrame, order: list[str]) -> str:
     return f"{row['n']}:{row['d'] or 0}"
 
 
-def persist(universe: DataFrame, edges: DataFrame, path: str, stage: str, target_source: str, threshold: int | None = None, with_signal: DataFrame | None = None) -> dict:
+def persist(
+    universe: DataFrame, edges: DataFrame, path: str, stage: str, target_source: str, threshold: int | None = None, with_signal: DataFrame | None = None, with_match: DataFrame | None = None,
+    split_id: str | None = None, names: list[str] | None = None, signals: DataFrame | None = None,
+) -> dict:
     """Write edges, S1 manifest and summary below ``path``; returns the summary."""
-    rows = edge_table(edges, stage, target_source, threshold)
-    manifest = manifest_table(universe, edges, target_source, with_signal)
+    rows = edge_table(edges, stage, target_source, threshold, split_id, names, signals)
+    manifest = manifest_table(universe, edges, target_source, with_signal, with_match)
     base = f"{path}/{stage}/{target_source}"
     rows.repartitionByRange("s1_id").sortWithinPartitions("s1_id", "target_id").write.mode("overwrite").parquet(f"{base}/candidates")
     manifest.repartitionByRange("s1_id").sortWithinPartitions("s1_id").write.mode("overwrite").parquet(f"{base}/s1_manifest")
     spark = universe.sparkSession
     summary = summarise(spark.read.parquet(f"{base}/candidates"), spark.read.parquet(f"{base}/s1_manifest"))
-    summary |= {"schema_version": SCHEMA_VERSION, "stage_id": stage, "target_source": target_source, "threshold": threshold}
+    summary |= {"schema_version": SCHEMA_VERSION, "stage_id": stage, "target_source": target_source, "threshold": threshold, "split_id": split_id, "families": names or [stage]}
     spark.createDataFrame([(json.dumps(summary, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/manifest")
     return summary
 
 
 def summarise(rows: DataFrame, manifest: DataFrame) -> dict:
+    repeats = rows.groupBy("s1_id", "target_id").count().where("count > 1").agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).first()["n"]
     m = manifest.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("has_candidates")).alias("z")).first()
-    return {"s1_rows": m["n"], "zero_candidate_rows": m["z"], "candidate_checksum": checksum(rows, ["s1_id", "target_id"]), "s1_checksum": checksum(manifest, ["s1_id"])}
+    return {"s1_rows": m["n"], "zero_candidate_rows": m["z"], "duplicate_rows": repeats, "candidate_checksum": checksum(rows, ["s1_id", "target_id"]), "s1_checksum": checksum(manifest, ["s1_id"])}
 
 
 def replay(spark, path: str, stage: str, target_source: str) -> DataFrame:

@@ -239,6 +239,23 @@ def metrics_cumulative_s3(spark, d):
     return metrics.stage_metrics(universe(spark, d), truth(spark, d, "S3"), fixture(spark, d, "er_s3"), stages(spark, d, 3), cumulative=True)
 
 
+_CAPS = (5, 10, 25)
+
+
+def _cap_metrics(name: str, family: str) -> None:
+    def run(spark, d):
+        a, b = cut(entities(spark, d, 1), "s1"), cut(entities(spark, d, 2), "target")
+        edges = blocking.least_frequency(a, b, family, max(_CAPS))
+        return metrics.cap_metrics(universe(spark, d), truth(spark, d), b, edges, list(_CAPS), family)
+
+    rows = " union all ".join(o.metrics(f"{family}_freq{c}", f"g{c}") for c in _CAPS)
+    query(name, o.fix(rows, o.truth(), *[x for c in _CAPS for x in o.shared(f"g{c}", family, c, True)]))(run)
+
+
+for _name, _family in (("metrics_token_caps", "name_token_unicode"), ("metrics_compact_token_caps", "name_token_compact"), ("metrics_address_caps", "address_token"), ("metrics_number_caps", "number")):
+    _cap_metrics(_name, _family)
+
+
 _EXACT = {"name_only": Strategy("shared", "name"), "compact_name": Strategy("shared", "compact_name"), "country_name": Strategy("shared", "name", True)}
 
 
@@ -623,10 +640,42 @@ def persist_roundtrip(spark, d):
     return persist.replay(spark, path, "name_token", "S2").select("s1_id", "target_id", F.col("candidate_order").cast("long").alias("candidate_order"))
 
 
-@query("s1_manifest", o.fix("select 'S2' as target_source, u.id as s1_id, coalesce(c.n, 0) as candidate_count, c.n is not null as has_candidates, case when c.n is not null then 'has_candidates' when u.nm = '' then 'zero_candidates_missing_signals' else 'zero_candidates_no_matching_index_keys' end as reason from n1 u left join (select s1_id, count(*) as n from e group by 1) c on c.s1_id = u.id", *_NAME_TOKEN))
+_REASON = """case when c.n is not null then 'has_candidates' when u.id not in (select id from p1e) then 'zero_candidates_missing_signals'
+  when u.id in (select x.id from p1e x join p2e y on x.k = y.k) then 'zero_candidates_filtered_or_invalid_keys' else 'zero_candidates_no_matching_index_keys' end"""
+_COUNTED = "n1 u left join (select s1_id, count(*) as n from e group by 1) c on c.s1_id = u.id"
+
+
+def _manifest(spark, d, edges: DataFrame) -> DataFrame:
+    own, other = (postings.postings(entities(spark, d, n), "name_token_unicode") for n in (1, 2))
+    shared = own.join(other.select("key").distinct(), "key", "left_semi").select("id")
+    return persist.manifest_table(universe(spark, d), edges, "S2", own.select("id"), shared)
+
+
+@query("s1_manifest", o.fix(f"select 'S2' as target_source, u.id as s1_id, coalesce(c.n, 0) as candidate_count, c.n is not null as has_candidates, {_REASON} as reason from {_COUNTED}", *_NAME_TOKEN))
 def s1_manifest(spark, d):
-    signals = postings.postings(entities(spark, d, 1), "name_token_unicode").select("id")
-    return persist.manifest_table(universe(spark, d), _name_token_edges(spark, d), "S2", signals)
+    return _manifest(spark, d, _name_token_edges(spark, d))
+
+
+@query(
+    "coverage_states",
+    o.fix(
+        f"select u.id as s1_id, coalesce(c.n, 0) as candidate_count, coalesce(h.t, 0) as truth, coalesce(h.hit, 0) as recovered, case when c.n is null then {_REASON} "
+        f"when coalesce(h.t, 0) = coalesce(h.hit, 0) then 'has_candidates_complete_entity_coverage' else 'has_candidates_incomplete_entity_coverage' end as state from {_COUNTED} "
+        "left join (select t.s1_id, count(*) as t, count(e.s1_id) as hit from truth t left join e on e.s1_id = t.s1_id and e.target_id = t.target_id group by 1) h on h.s1_id = u.id",
+        o.truth(),
+        *_NAME_TOKEN,
+    ),
+)
+def coverage_states(spark, d):
+    edges = cut(_name_token_edges(spark, d), "edges")
+    return persist.coverage(_manifest(spark, d, edges), edges, truth(spark, d))
+
+
+@query("candidate_families", o.fix("select s1_id, target_id, string_agg(f, ',' order by i) as families, row_number() over (partition by s1_id order by target_id) - 1 as candidate_order from (" + " union all ".join(f"select s1_id, target_id, '{n}' as f, {i} as i from e{i}" for i, n in enumerate(_NAMES)) + ") group by s1_id, target_id", *_stage_ctes()))
+def candidate_families(spark, d):
+    tagged = candidates.tag(list(stages(spark, d).values()))
+    rows = persist.edge_table(tagged, "cumulative", "S2", 250, "all", _NAMES, persist.availability(entities(spark, d, 1)))
+    return rows.select("s1_id", "target_id", F.array_join("blocking_families", ",").alias("families"), F.col("candidate_order").cast("long").alias("candidate_order"))
 
 
 _BAD = "case when ck % 50 = 0 then 'S1-' || ck when ck % 50 = 1 then 'S1-' || ck || chr(9) || 'S1-' || ck when ck % 50 = 2 then 'S1-' || ck || chr(9) || 'S2-1,S2-1' when ck % 50 = 3 then 'S9-' || ck || chr(9) || '' else 'S1-' || ck || chr(9) || 'S3-' || ck end"

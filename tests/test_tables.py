@@ -49,6 +49,27 @@ def test_persist_replay_validate(spark):
     assert again["candidate_checksum"] == summary["candidate_checksum"]
 
 
+def test_provenance_and_states(spark):
+    u, _ = _run(spark)
+    edges = spark.createDataFrame([("S1-2", "S2-3", 1), ("S1-2", "S2-1", 2), ("S1-2", "S2-1", 1)], "s1_id string, target_id string, stages long")
+    schema = "entity_id string, business_name string, business_address string, country string"
+    own = postings.prepare(spark.createDataFrame([("S1-1", "", "", ""), ("S1-2", "Acme", "12 Oak", "US")], schema))
+    rows = persist.edge_table(edges, "m", "S2", 5, "v1", ["name", "number"], persist.availability(own)).orderBy("candidate_order").collect()
+    assert [(r["target_id"], r["blocking_families"], r["split_id"]) for r in rows] == [("S2-1", ["name", "number"], "v1"), ("S2-3", ["name"], "v1")]
+    assert rows[0]["signal_availability"].asDict() == {"name": True, "address_token": True, "postal": False, "number": True, "country": True}
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    none = edges.limit(0)
+    reasons = lambda s, m: [r["reason"] for r in persist.manifest_table(u, none, "S2", s, m).orderBy("s1_id").collect()]
+    assert reasons(ids("S1-2"), ids()) == ["zero_candidates_missing_signals", "zero_candidates_no_matching_index_keys"]
+    assert reasons(ids("S1-2"), ids("S1-2"))[1] == "zero_candidates_filtered_or_invalid_keys"
+    manifest = persist.manifest_table(u, edges, "S2", ids("S1-2"))
+    truth = spark.createDataFrame([("S1-2", "S2-1"), ("S1-2", "S2-9")], "s1_id string, target_id string")
+    states = lambda t, known=None: [r["state"] for r in persist.coverage(manifest, edges, t, known).orderBy("s1_id").collect()]
+    assert states(truth) == ["zero_candidates_missing_signals", "has_candidates_incomplete_entity_coverage"]
+    assert states(truth.limit(1))[1] == "has_candidates_complete_entity_coverage"
+    assert states(truth, u.limit(0))[1] == "coverage_unknown"
+
+
 def test_replay_rejects_repeats_and_other_targets(spark):
     u, edges = _run(spark)
     for wrong, message in ((persist.edge_table(edges, "m", "S3", 1), "another target"), (persist.edge_table(edges, "m", "S2", 1).unionAll(persist.edge_table(edges, "m", "S2", 1)), "repeated")):
