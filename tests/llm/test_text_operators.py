@@ -234,6 +234,14 @@ def test_classifier_learns_held_out_rows():
     assert toxicity.train(*_toy(60, 1), steps=20).out.tolist() == toxicity.train(*_toy(60, 1), steps=20).out.tolist()
 
 
+def test_model_does_not_depend_on_row_order():
+    texts = [f"good plain words {i} here" for i in range(12)] + [f"vile nasty words {i} here" for i in range(12)] + ["both labels"] * 2
+    labels, langs = [0] * 12 + [1] * 12 + [0, 1], ["en", None] * 13
+    a = toxicity.train(texts, labels, langs, steps=5)
+    b = toxicity.train(texts[::-1], labels[::-1], langs[::-1], steps=5)
+    assert np.array_equal(a.table, b.table) and a.shift == b.shift
+
+
 def test_classifier_without_a_class():
     assert all(toxicity.train(t, y).constant == 0.0 for t, y in ((["a", "b"], [0, 0]), (["a"], [1]), ([], [])))
 
