@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.llm import mixing, packing, pii, simhash, toxicity
+from linkforge.llm import mixing, packing, pii, shingles, toxicity
 from linkforge.runtime import cut
 
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one of the smallest id."""
-    return simhash.without_near_duplicates(docs)
+    """One document of each class of near duplicates (five-word shingles, Jaccard 0.8), the one of the smallest id."""
+    return shingles.without_near_duplicates(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
