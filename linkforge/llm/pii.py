@@ -139,7 +139,13 @@ _BRACKET_HYPHEN = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_HYPHEN}|-)[ \t]*[\])}}>
 _PLAIN_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_DOT})[ \t]+(?=[A-Za-z0-9])", re.IGNORECASE)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,2}@[ \t]{0,2}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]{0,2}@[ \t]{1,2}(?=[A-Za-z0-9])")
 _PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_AT})[ \t]+(?=([A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+))", re.IGNORECASE)
-_HINT = re.compile(rf"(?<!\w)(?:{_WORD})[\s,;/()-]{{1,3}}(?:{_WORD}|[0-9])|[\[({{<][ \t]*(?:{_AT}|{_DOT}|[@.])[ \t]*[\])}}>]|(?<!\w)(?:{_DOT}|arroba|arobase|klammeraffe)(?!\w)|[_*-]at[_*-]|[ \t]@|@[ \t]|[0-9][A-Za-z]?[ \t]at[ \t]", re.IGNORECASE)
+#: Matches wherever one of the rewrites above finds something in a text as it is, so a text without a match has no disguise.
+_HINT = re.compile(
+    rf"(?<!\w)(?:{_WORD})[\s,;/()-]{{1,3}}(?:{_WORD}|[0-9])|(?<!\w)[0-9][\s,;/()-]{{1,3}}(?:{_WORD})(?!\w)|(?<!\w)(?:{_PLUS})[\s,]{{0,2}}[0-9(]"
+    rf"|[\[({{<][ \t]*(?:{_AT}|{_DOT}|{_HYPHEN}|[@.-])[ \t]*[\])}}>]|[_*-](?:{_AT})[_*-]|(?<!\w)(?:{_DOT})(?!\w)|[ \t]@|@[ \t]"
+    rf"|[A-Za-z0-9][ \t]+(?:{_AT})[ \t]+[A-Za-z0-9-]+[.]",
+    re.IGNORECASE,
+)
 _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _OWN_DOT = ""
 

@@ -105,6 +105,29 @@ def test_plain_text_is_left_alone(text):
     assert pii.find(text) == ([], []) and pii.redact(text) == text
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("write john.smith at example.com now", ("email", 6, 31)),
+        ("write john.smith  at \t example.com now", ("email", 6, 34)),
+        ("write j.smith-at-example.com, a.b_arroba_example.com", ("email", 30, 52)),
+        ("call plus 49 30 12345678 now", ("phone", 5, 24)),
+        ("call +49 30 [dash] 12345678 now", ("phone", 5, 27)),
+        ("pay 4242 4242 4242 4 2 4 two now", ("card", 4, 28)),
+    ],
+)
+def test_a_single_disguise_is_found_without_another(text, span):
+    assert span in pii.find(text)[1]
+
+
+def test_unrelated_words_change_no_span():
+    rng = random.Random(11)
+    words = "john.smith jane x7 at AT arroba example.com example com dot point plus Plus mas 49 30 12345678 4242 424 2 one two zero dash minus ( ) [ ] - @ [at] (dot) [-] <hyphen> {arroba} _at_ -arobase- , 192 168 1 é".split()
+    for _ in range(20_000):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", " ", "  ", "\t"]) for _ in range(rng.randint(2, 9)))
+        assert pii.find(text) == pii.find(text + "\n; dot"), text
+
+
 def test_long_runs_of_zeros_in_an_address_part():
     part = "0" * 5000
     assert pii.detect(f"{part}1.2.3.4") == [("ip", 0, 5007)]
