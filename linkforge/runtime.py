@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder of this machine is made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset on a local master (in
+    tests) a temporary folder of this machine is made and set; elsewhere its absence is an error.
     """
     folder = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{_CONF} must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="linkforge-")
         spark.conf.set(_CONF, folder)
     return folder.rstrip("/")
@@ -32,11 +36,16 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
 
     The lineage ends at reliable storage, so a lost executor costs no recomputation, the planner
     sees the true size (small tables are broadcast, large ones are not), and later uses read the
-    columns they need.
+    columns they need. Once the table is written nothing reads its shuffle files, so they go at once.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
