@@ -9,12 +9,12 @@ The three base rules are fixed by their patterns; the further rules add spans an
 
 Defined cases: a null text counts as an empty one; repeated rows each get the findings of their
 text; an empty table gives no rows; further columns are ignored unless asked for as ``paths``; a
-null path is kept as it is. Patterns are matched in one pass over the whole text, however long.
+null path is kept as it is. Whole texts are scanned, however long, in time that grows with their
+length: no rule goes over the same stretch of a text from more than a bounded number of starts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.llm.arrow import map_arrow
-from linkforge.runtime import cut
+from linkforge.runtime import cut, new_path
 
 Spans = list[tuple[int, int]]
 
@@ -32,8 +32,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
-_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+_PEM_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+_PEM_END = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+_NOT_PEM = re.compile(r"[^A-Za-z0-9+/=\s:,-]")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _GITHUB = re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")
 _SLACK = re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")
 
@@ -52,6 +54,29 @@ def _spans(pattern: re.Pattern, hint: str = "") -> Callable[[str], Spans]:
     return find
 
 
+def _pem(text: str) -> Spans:
+    """Private keys: a BEGIN mark, and up to the next END mark if only key characters lie between."""
+    if "PRIVATE KEY-----" not in text:
+        return []
+    found, free, bad = [], 0, -1
+    ends = [m.span() for m in _PEM_END.finditer(text)]
+    at = 0
+    for m in _PEM_BEGIN.finditer(text):
+        start, stop = m.span()
+        if start < free:
+            continue
+        while at < len(ends) and ends[at][0] < stop:
+            at += 1
+        if at < len(ends):
+            if bad < stop:
+                bad = b.start() if (b := _NOT_PEM.search(text, stop)) else len(text)
+            if bad >= ends[at][1]:
+                stop = ends[at][1]
+        found.append((start, stop))
+        free = stop
+    return found
+
+
 @dataclass(frozen=True)
 class Rule:
     """One kind of secret; a new ``version`` makes every blob unseen for this rule."""
@@ -72,7 +97,7 @@ RULES: tuple[Rule, ...] = (
     Rule("assign", _assign, base=True),
     Rule("access", _spans(_ACCESS, "AKIA"), base=True),
     Rule("hex", _spans(_HEX), base=True),
-    Rule("pem", _spans(_PEM, "PRIVATE KEY-----")),
+    Rule("pem", _pem),
     Rule("jwt", _spans(_JWT, "eyJ")),
     Rule("github", _spans(_GITHUB, "gh")),
     Rule("slack", _spans(_SLACK, "xox")),
@@ -97,18 +122,23 @@ def empty_ledger(spark) -> DataFrame:
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """(blob, text, rules): each distinct blob that some rule versions have not seen, and which."""
+    """(blob, text, rules): each distinct blob that some rule versions have not seen, and which.
+
+    With a ledger the hashes alone meet it first, so that of the texts only the unseen ones move.
+    """
     keys = F.array(*[F.lit(r.key) for r in rules])
-    own = blobs(docs, text).groupBy("blob").agg(F.first(text).alias("text"))
+    own = blobs(docs.select(F.col(text).alias("text")))
     if ledger is None:
-        return own.withColumn("rules", keys)
+        return own.groupBy("blob").agg(F.first("text").alias("text")).withColumn("rules", keys)
     seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
     missing = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
-    return own.join(seen, "blob", "left").select("blob", "text", missing.alias("rules")).where(F.size("rules") > 0)
+    todo = own.select("blob").distinct().join(seen, "blob", "left").select("blob", missing.alias("rules")).where(F.size("rules") > 0)
+    todo = cut(todo, "todo")
+    return own.join(todo, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """New ledger rows: what the unseen rule versions find in the blobs of ``docs``."""
+    """New ledger rows: what the unseen rule versions find in the blobs of ``docs``, a row per blob scanned."""
     by_key = {r.key: r for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +197,6 @@ def report(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) ->
     )
 
 
-def brute(text: str | None) -> tuple:
-    """What ``report`` gives for one text, computed plainly."""
-    rows = [(a, i, b, r) for i, r in enumerate(RULES) for a, b in r.find(text or "")]
-    listed = lambda xs: ",".join(f"{r.kind}:{a}:{b}" for a, _, b, r in sorted(xs, key=lambda x: x[:3]))
-    own = [x for x in rows if x[3].base]
-    return (*[sum(x[3] is r for x in own) for r in RULES if r.base], hashlib.sha256(listed(own).encode()).hexdigest(), listed(rows))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return report(docs, cut(scan_unseen(docs), "ledger"))
+    return report(docs, update_ledger(docs, new_path(spark, "ledger")))
