@@ -128,24 +128,26 @@ _AT, _DOT, _PLUS, _HYPHEN = "at|arroba|arobase|klammeraffe", "dot|punkt|punto|po
 ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv us uk eu de fr es it nl be ch at pt pl se no fi dk ie ca au nz jp cn in br mx ru test example invalid localhost".split())
 
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-_DIGIT_RUN = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\s,;/()-]{{1,3}}(?:{_WORD}|[0-9]))+(?!\w)", re.IGNORECASE)
-_MIXED_RUN = re.compile(rf"(?<!\w)[0-9](?:[\s,;/()-]{{1,3}}(?:{_WORD}|[0-9](?![0-9])))*[\s,;/()-]{{1,3}}(?:{_WORD})(?:[\s,;/()-]{{1,3}}(?:{_WORD}|[0-9](?![0-9])))*(?!\w)", re.IGNORECASE)
+#: A whole run of digits and digit names, taken once (possessively); whether it holds a name is seen afterwards.
+_DIGIT_RUN = re.compile(rf"(?<!\w)(?:{_WORD}|[0-9])(?!\w)(?:[\s,;/()-]{{1,3}}(?:{_WORD}|[0-9])(?!\w))++", re.IGNORECASE)
 _ADDRESS_RUN = re.compile(rf"(?<!\w)(?:{_WORD}|[0-9]{{1,3}})(?:[ \t]+(?:{_DOT})[ \t]+(?:{_WORD}|[0-9]{{1,3}})){{3}}(?!\w)", re.IGNORECASE)
 _UNIT = re.compile(rf"{_WORD}|[0-9]", re.IGNORECASE)
+_NAME = re.compile(_WORD, re.IGNORECASE)
 _PLUS_WORD = re.compile(rf"(?<!\w)(?:{_PLUS})[\s,]{{0,2}}(?=[0-9(])", re.IGNORECASE)
-_BRACKET_AT = re.compile(rf"[ \t]*(?:[\[({{<][ \t]*(?:{_AT}|@)[ \t]*[\])}}>]|(?<=\w)[_*-](?:{_AT})[_*-](?=\w))[ \t]*", re.IGNORECASE)
-_BRACKET_DOT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_DOT}|\.)[ \t]*[\])}}>][ \t]*", re.IGNORECASE)
-_BRACKET_HYPHEN = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_HYPHEN}|-)[ \t]*[\])}}>][ \t]*", re.IGNORECASE)
-_PLAIN_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_DOT})[ \t]+(?=[A-Za-z0-9])", re.IGNORECASE)
+_BRACKET_AT = re.compile(rf"[\[({{<][ \t]*+(?:{_AT}|@)[ \t]*+[\])}}>]|(?<=\w)[_*-](?:{_AT})[_*-](?=\w)", re.IGNORECASE)
+_BRACKET_DOT = re.compile(rf"[\[({{<][ \t]*+(?:{_DOT}|\.)[ \t]*+[\])}}>]", re.IGNORECASE)
+_BRACKET_HYPHEN = re.compile(rf"[\[({{<][ \t]*+(?:{_HYPHEN}|-)[ \t]*+[\])}}>]", re.IGNORECASE)
+_PLAIN_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]++(?:{_DOT})[ \t]++(?=[A-Za-z0-9])", re.IGNORECASE)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,2}@[ \t]{0,2}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]{0,2}@[ \t]{1,2}(?=[A-Za-z0-9])")
-_PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_AT})[ \t]+(?=([A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+))", re.IGNORECASE)
-#: Matches wherever one of the rewrites above finds something in a text as it is, so a text without a match has no disguise.
-_HINT = re.compile(
-    rf"(?<!\w)(?:{_WORD})[\s,;/()-]{{1,3}}(?:{_WORD}|[0-9])|(?<!\w)[0-9][\s,;/()-]{{1,3}}(?:{_WORD})(?!\w)|(?<!\w)(?:{_PLUS})[\s,]{{0,2}}[0-9(]"
-    rf"|[\[({{<][ \t]*(?:{_AT}|{_DOT}|{_HYPHEN}|[@.-])[ \t]*[\])}}>]|[_*-](?:{_AT})[_*-]|(?<!\w)(?:{_DOT})(?!\w)|[ \t]@|@[ \t]"
-    rf"|[A-Za-z0-9][ \t]+(?:{_AT})[ \t]+[A-Za-z0-9-]+[.]",
-    re.IGNORECASE,
-)
+_PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]++(?:{_AT})[ \t]++(?=([A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+))", re.IGNORECASE)
+_STRONG = re.compile("[0-9._%+-]")
+#: What betrays a disguise: the names above, each kind looked for closely only where one of its words occurs.
+_TO_SPACES = str.maketrans({i: " " for i in range(128) if not chr(i).isalpha()})
+_DIGIT_NAMES, _AT_NAMES, _DOT_NAMES, _PLUS_NAMES, _HYPHEN_NAMES = (frozenset(x) for x in (DIGITS, _AT.split("|"), _DOT.split("|"), _PLUS.split("|"), _HYPHEN.split("|")))
+_DIGIT_HINT = re.compile(rf"(?<!\w)(?:{_WORD})[\s,;/()-]{{1,3}}(?:{_WORD}|[0-9])|(?<!\w)[0-9][\s,;/()-]{{1,3}}(?:{_WORD})(?!\w)", re.IGNORECASE)
+_AT_HINT = re.compile(rf"[\[({{<_*-][ \t]*+(?:{_AT})[ \t]*+[\])}}>_*-]|[A-Za-z0-9][ \t]++(?:{_AT})[ \t]++[A-Za-z0-9-]++[.]", re.IGNORECASE)
+_SIGN_HINT = re.compile(r"[\[({<][ \t]*+[@.-][ \t]*+[\])}>]|[ \t]@|@[ \t]")
+_HYPHEN_HINT = re.compile(rf"[\[({{<][ \t]*+(?:{_HYPHEN})[ \t]*+[\])}}>]", re.IGNORECASE)
 _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _OWN_DOT = ""
 
@@ -171,19 +173,28 @@ class Pieces:
         i = bisect.bisect_left(self.pieces, (stop, -1, -1, -1)) - 1
         return i >= 0 and (self.pieces[i][1] > start or self.pieces[i][0] > start)
 
-    def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str | None]) -> bool:
-        """Replace matches; None keeps one. A match that a piece crosses takes the piece in."""
+    def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str | None], blanks: bool = False) -> bool:
+        """Replace matches; None keeps one. A match that a piece crosses takes the piece in.
+
+        With ``blanks`` the spaces and tabs around a match go with it.
+        """
         out: list[str] = []
         fresh: list[tuple[int, int, int, int]] = []
         last, shift, changed = 0, 0, []
         for m in pattern.finditer(self.text):
             if (new := to(m)) is not None:
-                out += [self.text[last : m.start()], new]
-                a = m.start() + shift
-                fresh.append((a, a + len(new), self.source(m.start(), False), self.source(m.end(), True)))
-                changed.append((m.start(), m.end(), len(new)))
-                shift += len(new) - (m.end() - m.start())
-                last = m.end()
+                start, stop = m.span()
+                if blanks:
+                    while start > last and self.text[start - 1] in " \t":
+                        start -= 1
+                    while stop < len(self.text) and self.text[stop] in " \t":
+                        stop += 1
+                out += [self.text[last:start], new]
+                a = start + shift
+                fresh.append((a, a + len(new), self.source(start, False), self.source(stop, True)))
+                changed.append((start, stop, len(new)))
+                shift += len(new) - (stop - start)
+                last = stop
         if not fresh:
             return False
         out.append(self.text[last:])
@@ -203,26 +214,49 @@ def _plain_at(m: re.Match) -> str | None:
     domain = m[1]
     if _OWN_DOT in domain:
         return "@" if re.split(f"[.{_OWN_DOT}]", domain)[-1].lower() in ENDINGS else None
-    local = re.search(r"[A-Za-z0-9._%+-]*\Z", m.string[max(0, m.start() - 64) : m.start()])[0]
-    strong = re.search(r"[0-9._%+-]", local) and domain.rsplit(".", 1)[-1].lower() in ENDINGS
+    start = m.start()
+    while start > 0 and m.string[start - 1] in _LOCAL:
+        start -= 1
+    strong = _STRONG.search(m.string, start, m.start()) and domain.rsplit(".", 1)[-1].lower() in ENDINGS
     return "@" if strong else None
 
 
+def _spelled(m: re.Match) -> str | None:
+    """The digits of a run that holds a digit's name; a run of digits alone stays."""
+    return "".join(DIGITS.get(u.lower(), u) for u in _UNIT.findall(m[0])) if _NAME.search(m[0]) else None
+
+
+def suspect(text: str) -> bool:
+    """Whether one of the rewrites may find something in a text as it is."""
+    if ("@" in text or "." in text or "-" in text) and _SIGN_HINT.search(text):
+        return True
+    if any(c in text for c in "İıſK"):  # equal to ASCII letters when case is ignored
+        return True
+    words = set(text.lower().translate(_TO_SPACES).split())
+    if not words.isdisjoint(_DOT_NAMES):
+        return True
+    if not words.isdisjoint(_DIGIT_NAMES) and _DIGIT_HINT.search(text):
+        return True
+    if not words.isdisjoint(_AT_NAMES) and _AT_HINT.search(text):
+        return True
+    if not words.isdisjoint(_PLUS_NAMES) and _PLUS_WORD.search(text):
+        return True
+    return bool(not words.isdisjoint(_HYPHEN_NAMES) and _HYPHEN_HINT.search(text))
+
+
 def normalise(text: str) -> Pieces | None:
     """The text without disguises and the map back to it; None where nothing is disguised."""
     flat = text if text.isascii() or not _ODD.search(text) else text.translate(_CHARACTERS)
-    if flat is text and not _HINT.search(text):
+    if flat is text and not suspect(text):
         return None
     p = Pieces(flat)
     p.rewrite(_HIDDEN, lambda m: "")
-    spelled = lambda m: "".join(DIGITS.get(u.lower(), u) for u in _UNIT.findall(m[0]))
-    p.rewrite(_DIGIT_RUN, spelled)
-    p.rewrite(_MIXED_RUN, spelled)
+    p.rewrite(_DIGIT_RUN, _spelled)
     p.rewrite(_ADDRESS_RUN, lambda m: ".".join(DIGITS.get(w.lower(), w) for w in m[0].split()[::2]))
     p.rewrite(_PLUS_WORD, lambda m: "+")
-    p.rewrite(_BRACKET_HYPHEN, lambda m: "-")
-    p.rewrite(_BRACKET_DOT, lambda m: ".")
-    p.rewrite(_BRACKET_AT, lambda m: "@")
+    p.rewrite(_BRACKET_HYPHEN, lambda m: "-", blanks=True)
+    p.rewrite(_BRACKET_DOT, lambda m: ".", blanks=True)
+    p.rewrite(_BRACKET_AT, lambda m: "@", blanks=True)
     p.rewrite(_SPACED_AT, lambda m: "@")
     p.rewrite(_PLAIN_DOT, lambda m: _OWN_DOT)
     p.rewrite(_PLAIN_AT, _plain_at)
@@ -236,16 +270,18 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     p = normalise(text)
     if p is None:
         return base, []
-    had = {}
+    had: dict[str, tuple[list[int], list[int]]] = {k: ([], []) for k in KINDS}  # base spans by kind lie apart and in order
     for kind, a, b in base:
-        had.setdefault(kind, []).append((a, b))
-    added = []
+        had[kind][0].append(a)
+        had[kind][1].append(b)
+    added: list[Span] = []
     for kind, a, b in detect(p.text):
         start, stop = p.source(a, False), p.source(b, True)
         if p.touched(a, b) or text[start:stop] != p.text[a:b]:
-            own = had.setdefault(kind, [])
-            if not any(x <= start and stop <= y for x, y in own):
-                own.append((start, stop))
+            starts, stops = had[kind]
+            i = bisect.bisect_right(starts, start) - 1
+            inside = i >= 0 and stop <= stops[i]
+            if not inside and not (added and added[-1][0] == kind and added[-1][1] <= start and stop <= added[-1][2]):
                 added.append((kind, start, stop))
     return base, added
 
