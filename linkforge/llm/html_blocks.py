@@ -2,13 +2,16 @@
 
 A forgiving one-pass reader: comments, declarations, scripts, styles and other raw content are
 skipped, unclosed elements are closed as browsers do, stray end tags are ignored, and a page cut off
-anywhere is read to its end. Time and memory are linear in the page.
+anywhere is read to its end, however deep its elements lie. An element knows what is above it as
+sets shared with its parent, so depth costs nothing per block; time and memory are linear in the page.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 _TAG = re.compile(
@@ -24,6 +27,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big blink br cite code data del dfn
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 SKIPPED = frozenset("noscript template svg math select button object canvas audio video datalist".split())
+#: Elements whose presence above a block tells something of it.
+STRUCTURE = frozenset("article main nav header footer aside form section table ul ol dl figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 address details fieldset li td th p".split())
 #: An open element of the first kind ends where one of the second kind begins, up to the boundary.
 CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -46,6 +51,19 @@ HINTS = {
 _HINT_OF = {w: k for k, ws in HINTS.items() for w in ws}
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element with what holds below it; its sets are shared with its parent where it adds nothing."""
+
+    name: str
+    tag: str
+    above: frozenset[str]
+    hints: frozenset[str]
+
+
+_ROOT = _Open("", "", frozenset(), frozenset())
+
+
 @dataclass
 class Block:
     text: str
@@ -72,10 +90,18 @@ def _hints(attrs: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _first_above(at: list[int], low: int) -> int | None:
+    """The lowest of some rising places that is above ``low``."""
+    i = bisect.bisect_right(at, low)
+    return at[i] if i < len(at) else None
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks that hold text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[_Open] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
+    solid: list[int] = []  # where in the stack block-level elements are
     text: list[str] = []
     linked = total = 0
     links = skipping = 0
@@ -86,17 +112,20 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = " ".join(entities.unescape("".join(text)).split())
             if words:
-                tags = [t for t, _ in stack if t not in INLINE]
-                out.append(Block(words, tags[-1] if tags else "", frozenset(tags), frozenset().union(*(h for _, h in stack)), min(1.0, linked / max(1, total))))
+                inner = stack[-1] if stack else _ROOT
+                out.append(Block(words, inner.tag, inner.above, inner.hints, min(1.0, linked / max(1, total))))
             text.clear()
         linked = total = 0
 
     def pop(place: int) -> None:
         nonlocal links, skipping
-        for name, _ in stack[place:]:
+        while len(stack) > place:
+            name = stack.pop().name
+            places[name].pop()
+            if name not in INLINE:
+                solid.pop()
             links -= name == "a"
             skipping -= name in SKIPPED
-        del stack[place:]
 
     while True:
         cut = page.find("<", at)
@@ -122,11 +151,10 @@ def blocks(page: str) -> list[Block]:
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if m["close"] or m["close2"]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if name not in INLINE:
                 flush()
-            if place >= 0:
-                pop(place)
+            if places[name]:
+                pop(places[name][-1])
             continue
         if name == "br" or name == "hr":
             text.append(" ") if name == "br" and not skipping else flush()
@@ -140,20 +168,26 @@ def blocks(page: str) -> list[Block]:
             flush()
             closes, bound = CLOSED_BY.get(name, ("", ()))
             targets = set(closes.split())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in bound:
-                    break
-                if stack[i][0] == "p" or stack[i][0] in targets:
-                    pop(i)
-                    if name not in CLOSED_BY:
-                        break
-                elif stack[i][0] not in INLINE and name not in CLOSED_BY:
-                    break
+            if name in CLOSED_BY:  # up to the boundary every element of the kinds goes, with all inside it
+                low = max((places[x][-1] for x in bound if places[x]), default=-1)
+                first = min((i for x in (*targets, "p") if (i := _first_above(places[x], low)) is not None), default=None)
+                if first is not None:
+                    pop(first)
+            elif solid and stack[solid[-1]].name == "p":
+                pop(solid[-1])
         if name in VOID or attrs.endswith("/") and name in SKIPPED:
             continue
-        if len(stack) < 512:
-            stack.append((name, _hints(attrs) if attrs else frozenset()))
-            links += name == "a"
-            skipping += name in SKIPPED
+        outer = stack[-1] if stack else _ROOT
+        hints = _hints(attrs) if attrs else frozenset()
+        hints = outer.hints if hints <= outer.hints else outer.hints | hints
+        if name in INLINE:
+            stack.append(_Open(name, outer.tag, outer.above, hints))
+        else:
+            solid.append(len(stack))
+            above = outer.above | {name} if name in STRUCTURE and name not in outer.above else outer.above
+            stack.append(_Open(name, name, above, hints))
+        places[name].append(len(stack) - 1)
+        links += name == "a"
+        skipping += name in SKIPPED
     flush()
     return out

@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from linkforge.llm.arrow import map_texts
-from linkforge.llm.html_blocks import Block, blocks
+from linkforge.llm.html_blocks import STRUCTURE, Block, blocks
 
 PAGES = 500
 EPOCHS = 6
 SEED = 5
 _END = (".", "!", "?", "…", "\"", "”", "»", ":", ";")
 _LENGTHS = (2, 5, 10, 20, 40, 80)
-_STRUCTURE = frozenset("article main nav header footer aside form section table ul ol dl figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 address details fieldset li td th p".split())
 _AWAY = frozenset("ad side comment foot nav share notice form related hidden".split())
 
 
@@ -40,10 +39,10 @@ def features(page: Sequence[Block]) -> list[list[str]]:
     for i, b in enumerate(page):
         words = b.text.count(" ") + 1
         size = sum(words > x for x in _LENGTHS)
-        tag = b.tag if b.tag in _STRUCTURE else "div"
+        tag = b.tag if b.tag in STRUCTURE else "div"
         link = "all" if b.link_share > 0.8 else "much" if b.link_share > 0.3 else "some" if b.link_share > 0 else "no"
         f = ["bias", f"tag={tag}", f"size={size}", f"link={link}", f"tag={tag}&size={size}", f"size={size}&link={link}"]
-        f += [f"above={t}" for t in b.above if t in _STRUCTURE]
+        f += [f"above={t}" for t in b.above]
         f += [f"hint={h}" for h in b.hints]
         away = bool(b.hints & _AWAY) or not b.above.isdisjoint(("nav", "footer", "aside", "form"))
         inside = not b.above.isdisjoint(("article", "main")) or "body" in b.hints
