@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.llm.arrow import map_arrow
-from linkforge.runtime import cut, new_path
+from linkforge.runtime import cut, exists, new_path
 
 Spans = list[tuple[int, int]]
 
@@ -155,10 +155,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequenc
 def update_ledger(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Scan what the Parquet ledger at ``path`` lacks, append it, and return the whole ledger."""
     spark = docs.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    old = spark.read.schema(LEDGER_SCHEMA).parquet(path) if there else None
+    old = spark.read.schema(LEDGER_SCHEMA).parquet(path) if exists(spark, path) else None
     scan_unseen(docs, old, rules, text).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
