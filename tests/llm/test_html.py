@@ -52,6 +52,22 @@ def test_article_without_surroundings(field):
     assert html_text.extract(page, field) == "Title here\nFirst paragraph of the story, long enough to be read.\nSecond one."
 
 
+def test_depth_changes_nothing(field):
+    body = "<article><h1>Title here</h1><p>First paragraph of the story, long enough to be read.</p></article><select><option>Choose a country now</option></select><button>Press here</button>"
+    texts = {html_text.extract("<div>" * n + body + "</div>" * n, field) for n in (10, 600, 2000)}
+    assert texts == {"Title here\nFirst paragraph of the story, long enough to be read."}
+
+
+def test_two_written_pages(field):
+    plain = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><div id="menu"><a href="/">Start</a> <a href="/b">Other</a></div>
+    <div class="content"><h1>Bread at home</h1><p>Flour &amp; water are <em>all</em> that it takes.</p><p>Wait
+    a day&hellip;</p></div><div class="comments"><p>I tried this last week and it failed.</p></div><div id="footer">Copyright 2020 Baker</div></body>"""
+    assert html_text.extract(plain, field) == "Bread at home\nFlour & water are all that it takes.\nWait a day…"
+    main = """<body><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav><main><article><h1>Rivers</h1><p>They run to the sea, slowly.</p><aside class=ad><p>Buy shoes now!</p></aside>
+    <ul><li>One river is long.</li><li>One is short.</li></ul></article></main><footer><p>All rights reserved.</p></footer></body>"""
+    assert html_text.extract(main, field) == "Rivers\nThey run to the sea, slowly.\nOne river is long.\nOne is short."
+
+
 def test_pages_table(spark, sf, field):
     rows = html_text.query(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()

@@ -1,6 +1,5 @@
 """Mixing, packing, sharding, embeddings and top-k: against plain versions, and on odd tables."""
 
-import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -162,6 +161,33 @@ def test_pack_is_gapless_and_whole(spark, odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packing_query_covers_all_documents(spark, sf):
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.default_tokenizer())
+    rows = packing.query(spark, sf).collect()
+    docs, places = defaultdict(list), defaultdict(list)
+    for r in rows:
+        docs[r["doc_id"]].append(r)
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert docs.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = np.array([*slow.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        own = sorted(docs[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(-(-len(ids) // 1024))) and all(r["length"] == 1024 for r in own[1:])
+        at = 0
+        for r in own:
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= 1024
+    counts = np.bincount([r["length"] for r in rows], minlength=1025)
+    assert len(places) <= 1.02 * packing.lower_bound(counts, 1024) + 1
+
+
 # --- sharding --------------------------------------------------------------------------------
 
 
@@ -178,6 +204,46 @@ def test_sharding_is_balanced_and_gapless(spark, sf):
     assert all(r["size"] == len((docs[r["doc_id"]] or "").encode()) + 16 and r["text_crc32"] == zlib.crc32((docs[r["doc_id"]] or "").encode()) for r in rows)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_equal_texts_share_a_shard(spark, sf, size):
+    folder = sf.replace("sf0.001", size)
+    rows = sharding.query(spark, folder).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    load, groups = Counter(), defaultdict(list)
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        groups[texts[r["doc_id"]]].append(r)
+    fair = sum(load.values()) / sharding.SHARDS
+    assert any(len(g) > 1 for g in groups.values())
+    for own in groups.values():
+        assert len({r["shard"] for r in own}) == 1 or sum(r["size"] for r in own) > fair
+    assert max(load.values()) <= max(1.02 * fair, max(r["size"] for r in rows))
+
+
+def test_sharding_follows_the_stored_map(spark):
+    rows = [(i, f"text number {i} " * (i % 7 + 1)) for i in range(3000)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string"), new_path(spark, "map")
+    first = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 10, map_path=path).collect()}
+    again = sharding.shard(docs, 10, map_path=path).collect()
+    assert {r["doc_id"]: r["shard"] for r in again} == first and {r["map_version"] for r in again} == {1}
+    grown = sharding.shard(docs, 11, map_path=path).collect()
+    moved = [r for r in grown if r["shard"] != first[r["doc_id"]]]
+    assert {r["map_version"] for r in grown} == {2} and 0 < len(moved) < 3000 / 11 * 1.5
+    slots = defaultdict(list)
+    for r in grown:
+        slots[r["shard"]].append(r["slot"])
+    assert len(slots) == 11 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_places_in_a_split_slot_are_gapless(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 16)
+    docs = spark.createDataFrame([(i, "") for i in range(500)] + [(500, "long " * 9000), (500, "long " * 9000)], "doc_id long, text string")
+    slots = defaultdict(list)
+    for r in sharding.shard(docs, 3).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and sum(map(len, slots.values())) == 502
+
+
 def test_hot_slot_is_split_and_odd_tables(spark, odd_docs, no_docs):
     copies = spark.createDataFrame([(i, "same text " * 40) for i in range(3000)] + [(i, f"other {i}") for i in range(3000, 3300)], "doc_id long, text string")
     rows = sharding.shard(copies).collect()
@@ -281,8 +347,36 @@ def test_top_k_on_empty_table(spark):
 def test_segment_bound_holds():
     rng = np.random.default_rng(0)
     a, b = rng.integers(-500, 500, (50, 37)).astype(float), rng.integers(-500, 500, (60, 37)).astype(float)
-    for s in (1, 4, 16):
-        assert (topk._stats(a, s) @ topk._stats(b, s).T + 1e-6 >= a @ b.T).all()
+    for s in ([0], [0, 1, 2, 30], *topk.levels(37)):
+        assert (topk.stats(a, np.array(s)) @ topk.stats(b, np.array(s)).T + 1e-6 >= a @ b.T).all()
+
+
+def _best(ids, v, k=10):
+    frame = topk.Frame.fit(ids[: topk.FIT_ROWS], v[: topk.FIT_ROWS])
+    best = topk.Best(ids[ids % 100 == 0], v[ids % 100 == 0], k, frame)
+    for a in range(0, len(ids), 1000):
+        best.add(topk.Block(ids[a : a + 1000], v[a : a + 1000], frame))
+    return best
+
+
+def test_clustered_vectors_are_mostly_pruned():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(50, 64))
+    ids, v = np.arange(6000), np.floor(1024 * (centres[rng.integers(0, 50, 6000)] + 0.15 * rng.normal(size=(6000, 64)))).astype(np.int64)
+    best = _best(ids, v)
+    assert best.left[0] < best.pairs / 2 and best.left[-1] <= best.left[0]
+    for i, q in enumerate(range(0, 6000, 100)):
+        scores = v @ v[q]
+        want = sorted((-int(s), int(j)) for j, s in zip(ids, scores, strict=True) if j != q)[:10]
+        assert [(-s, j) for s, j in zip(best.score[i].tolist(), best.vec[i].tolist(), strict=True)] == want
+
+
+def test_components_beyond_exact_doubles():
+    v = np.array([[2**31, 3], [2**31 + 1, 2], [-(2**40), 2**40], [2**62, 2**62]])
+    best = _best(np.array([100, 1, 2, 3]), v, 3)
+    exact = {j: sum(int(a) * int(b) for a, b in zip(v[0], v[i], strict=True)) for i, j in ((1, 1), (2, 2), (3, 3))}
+    want = sorted(((min(max(s, -(2**63) + 1), 2**63 - 1), j) for j, s in exact.items()), key=lambda x: (-x[0], x[1]))
+    assert list(zip(best.score[0].tolist(), best.vec[0].tolist(), strict=True)) == want
 
 
 def test_packing_reads_other_tokenizer_files(tmp_path):
@@ -290,4 +384,3 @@ def test_packing_reads_other_tokenizer_files(tmp_path):
 
     own = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert own("Hello there").dtype == np.uint32 and len(own("Hello there")) > 0
-    assert json.loads("1") == 1

@@ -1,12 +1,15 @@
 """Secrets, PII, SimHash, toxicity: against plain versions, and on odd tables."""
 
+import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from linkforge.llm import pii, secrets, simhash, toxicity
 from linkforge.runtime import cut, new_path
@@ -15,11 +18,46 @@ from linkforge.runtime import cut, new_path
 # --- secrets ---------------------------------------------------------------------------------
 
 
+#: The rules restated as plain patterns, with what a match must hold besides.
+PLAIN = {
+    "assign": (r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?(?P<own>[A-Za-z0-9+/_.=-]+)""", 6),
+    "access": (r"(?P<own>AKIA[A-Z0-9]+)", 20),
+    "hex": (r"(?P<own>[0-9a-f]+)", 24),
+    "pem": (r"(?P<own>-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----)?)", 0),
+    "jwt": (r"(?<![A-Za-z0-9_-])(?P<own>eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,})", 0),
+    "github": (r"\b(?P<own>gh[pousr]_[A-Za-z0-9]{36,})", 0),
+    "slack": (r"\b(?P<own>xox[abprs]-[A-Za-z0-9-]{10,})", 0),
+}
+
+
+def plain_secrets(text):
+    spans = [(m.start(), i, m.end(), kind) for i, (kind, (pattern, least)) in enumerate(PLAIN.items()) for m in re.finditer(pattern, text or "") if len(m["own"]) >= least]
+    listed = lambda xs: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(xs))
+    base = [x for x in spans if x[1] < 3]
+    return (*[sum(x[3] == k for x in base) for k in ("assign", "access", "hex")], hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans))
+
+
 def test_secret_report_equals_plain_scan(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = {r[0]: tuple(r[1:]) for r in secrets.query(spark, sf).collect()}
-    assert got == {i: secrets.brute(t) for i, t in texts.items()}
+    assert got == {i: plain_secrets(t) for i, t in texts.items()}
+
+
+def test_secret_rules_equal_plain_patterns():
+    rng = random.Random(5)
+    words = ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIB+/=", "\n", " ", "_", "eyJ", "abcdefgh1", ".", "-", "ghp_", "a1" * 18, "xoxb-", "xoxp-12345", "AKIA", "ABCDEFGHIJ123456", "0123456789abcdef", "token", "API_KEY", ": ", "=", "'", '"', "é"]
+    for _ in range(5000):
+        text = "".join(rng.choice(words) for _ in range(rng.randint(1, 14)))
+        got = [(r.kind, a, b) for r in secrets.RULES for a, b in r.find(text)]
+        assert got == [(k, m.start(), m.end()) for k, (pattern, least) in PLAIN.items() for m in re.finditer(pattern, text) if len(m["own"]) >= least], text
+
+
+@pytest.mark.parametrize("text", ["-----BEGIN PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----_", "eyJ-", "eyJaaaaaaaaa.", "ghp_", "token ", "0123456789abcdef0123456g", "AKIAa"])
+def test_secret_scan_is_linear(text):
+    start = time.perf_counter()
+    secrets.scan(text * (400_000 // len(text)))
+    assert time.perf_counter() - start < 10
 
 
 def test_secret_base_rules_keep_failing_matches_consumed():
@@ -31,23 +69,33 @@ def test_secret_base_rules_keep_failing_matches_consumed():
     assert find["hex"]("é" + "ab" * 12) == [(1, 25)]
 
 
-def test_ledger_scans_only_unseen_blobs_and_versions(spark):
-    path, scanned = new_path(spark, "ledger"), spark.sparkContext.accumulator(0)
+def test_ledger_scans_only_unseen_blobs_and_versions(spark, tmp_path):
+    path, scanned = new_path(spark, "ledger"), tmp_path / "scanned"
+
+    def find(text):
+        with open(scanned, "a") as f:
+            f.write(text + "\n")
+        return secrets.RULES[0].find(text)
+
+    def since():
+        texts = sorted(scanned.read_text().split("\n")[:-1]) if scanned.exists() else []
+        scanned.write_text("")
+        return texts
+
     docs = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "none")], "doc_id long, text string")
-    rules = secrets.RULES[:3]
+    rules = (secrets.Rule("assign", find, base=True), *secrets.RULES[1:3])
     first = secrets.update_ledger(docs, path, rules)
-    assert first.count() == 2  # two blobs, though three paths
-    assert secrets.unseen(docs, first, rules).count() == 0
-    newer = (secrets.Rule("assign", rules[0].find, version=2, base=True), *rules[1:])
+    assert first.count() == 2 and since() == ["none", "token=abcdef"]  # two blobs, though three paths
+    assert secrets.update_ledger(docs, path, rules).count() == 2 and since() == []  # nothing is scanned again
+    newer = (secrets.Rule("assign", find, version=2, base=True), *rules[1:])
     todo = secrets.unseen(docs, first, newer).collect()
     assert {tuple(r["rules"]) for r in todo} == {("assign@2",)}
     more = docs.unionAll(spark.createDataFrame([(4, "fresh")], docs.schema))
     assert secrets.unseen(more, first, rules).count() == 1
     second = secrets.update_ledger(more, path, newer)
-    assert secrets.unseen(more, second, newer).count() == 0
+    assert since() == ["fresh", "none", "token=abcdef"] and secrets.unseen(more, second, newer).count() == 0
     found = {r["doc_id"]: len(r["found"]) for r in secrets.findings(more, second, newer).collect()}
     assert found == {1: 1, 2: 1, 3: 0, 4: 0}
-    assert scanned.value == 0
 
 
 def test_secrets_on_odd_tables(spark, odd_docs, no_docs):
@@ -128,6 +176,21 @@ def test_unrelated_words_change_no_span():
         assert pii.find(text) == pii.find(text + "\n; dot"), text
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["0,1,0,0,", "1 2 3 4 ", "1 two 3 four ", " ", "(", "(                    ", "a@", "at ", "a at                    ", "1 dot ", "a", "a@b.com ", "a.b (at) c (dot) com ", "+1(", "plus ", "1.", "1", "\u0661", "x@y.z two three four "],
+)
+def test_personal_data_scan_is_linear(text):
+    start = time.perf_counter()
+    pii.find(text * (400_000 // len(text)) + " \u6587 seven eight dot")
+    assert time.perf_counter() - start < 12
+
+
+def test_long_local_parts_are_seen_whole():
+    local = "x" + "." + "y" * 300
+    assert ("email", 0, len(local) + len(" at example.com")) in pii.find(local + " at example.com")[1]
+
+
 def test_long_runs_of_zeros_in_an_address_part():
     part = "0" * 5000
     assert pii.detect(f"{part}1.2.3.4") == [("ip", 0, 5007)]
@@ -222,6 +285,25 @@ def test_near_duplicates_with_split_keys(spark, monkeypatch):
     assert {f: find(f) for f in fps} == want
 
 
+def test_simhash_query_equals_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {i: slow_print(t) for i, t in texts.items()}
+    ids, up = sorted(prints), {i: i for i in prints}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.query(spark, sf).collect()}
+    assert got == {i: (f"{prints[i]:016x}", find(i)) for i in ids}
+
+
 def test_simhash_on_odd_tables(odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     by = {r["doc_id"]: r["component_id"] for r in rows}
@@ -283,6 +365,27 @@ def test_toxicity_on_odd_tables(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, toxicity.fit(no_docs, labels), "s").count() == 0
 
 
+def test_query_reads_no_held_out_label(spark, sf, tmp_path):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    flipped.write.parquet(f"{tmp_path}/labels.parquet")
+    (tmp_path / "documents.parquet").symlink_to(f"{sf}/documents.parquet")
+    columns = ["doc_id", "held_out", "score", "predicted"]
+    own = sorted(map(tuple, toxicity.query(spark, sf).select(*columns).collect()))
+    assert own == sorted(map(tuple, toxicity.query(spark, str(tmp_path)).select(*columns).collect()))
+    assert all(0 <= s <= 1 and p == int(s >= 0.5) and h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h, s, p in own)
+
+
+def test_sample_takes_an_id_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i:04d}") for i in range(500)] + [(2, "vile"), (3, "good")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 0)], "doc_id long, toxic int")
+    texts, toxic, _ = toxicity.sample(docs, labels)
+    kept = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(zip(texts, toxic, strict=True)) == sorted({1: ("text 0000", 1), 2: ("vile", 1), 3: ("good", 0)}[i] for i in kept)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 4)
+    assert len(toxicity.sample(docs, labels)[0]) <= 1
+
+
 def test_hold_out_rule(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     got = {r[0]: r[1] for r in rows.select("doc_id", toxicity.held_out(rows.doc_id)).collect()}
