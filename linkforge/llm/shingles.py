@@ -1,11 +1,17 @@
 """Near duplicates by Jaccard similarity of word shingles, exact and without losing a pair.
 
-A text is the set of hashes of its runs of ``SHINGLE`` words. All texts order their hashes alike:
-those that a sample shows to be common come last, the rest by value. Two sets of similarity
-``SIMILARITY`` or more share a hash among the first ``n - ceil(SIMILARITY * n) + 1`` of each, so
-joining on these keys loses no pair; the sample changes the work only, never the result. Candidates
-are then compared whole. Equal sets are collapsed first. In keys of more than ``CROWD`` sets every set
-is first compared with one of them, a few times over; what is not yet connected is compared pairwise.
+A text is the set of hashes of its runs of ``SHINGLE`` words. SimHash fingerprints of these hashes
+are compared bit-sliced first (``simhash.fingerprint_links``), which proposes most links of large
+groups at the price of one comparison a text; a proposal counts only if the whole sets are similar.
+The rest is found by prefixes: all texts order their hashes alike (those that a sample shows to be
+common come last, the more common the later), and two sets of similarity ``SIMILARITY`` or more
+share a hash among the first ``n - ceil(SIMILARITY * n) + 1`` of each, so joining on these keys loses
+no pair; the sample changes the work only, never the result. In every key all sets are first compared
+with one of them; of what is not yet connected, a pair is compared whole only if the keys it shares
+leave room for similarity. Equal sets are collapsed first.
+
+Whole sets are fetched for the candidates alone, by a second reading of the texts, so no text is
+shuffled before the rows to keep are chosen.
 
 Defined cases: words are split at ASCII white space and ASCII letters are lowered; a text of fewer
 words than a shingle is one shingle; null and blank texts are equal empty sets; repeated rows share a
@@ -14,15 +20,18 @@ class; null ids come last; an empty table gives no rows; further columns are ign
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.arrow import map_texts
+from linkforge.llm import simhash
+from linkforge.llm.arrow import map_arrow, map_texts
 from linkforge.operators.components import connected_components
-from linkforge.runtime import cut
+from linkforge.runtime import cut, discard
 
 SHINGLE = 5
 SEED = 42
@@ -30,41 +39,56 @@ SEED = 42
 SIMILARITY = (4, 5)
 #: Rows looked at for common hashes, and the common hashes kept at most.
 SAMPLE, COMMON = 10_000, 100_000
-#: Keys of more sets are first thinned by comparing with one of them, so many times.
-CROWD, ROUNDS = 32, 3
+#: Bits of the filter that leaves most texts out of the second reading, in words of 4,096 bytes.
+FILTER_BITS = 1 << 26
+_WORD_BITS = 32_768
 #: Names that no table of documents has.
-_ID, _CONTENT = "__linkforge_id", "__linkforge_content"
+_ID, _CONTENT = simhash._ID, simhash._CONTENT
 
 
-def shingles(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct hashes of a whole text's word shingles."""
+def hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of a whole text's word shingles in order, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]]).tolist()
     ends = ends[shingle - 1 :].tolist() or [len(joined) + 1]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends, strict=False)], np.uint64).view(np.int64))
+    return np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends, strict=False)], np.uint64)
+
+
+def shingles(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's word shingles."""
+    return np.unique(hashes(text, shingle, seed).view(np.int64))
+
+
+def _node(own: np.ndarray) -> int:
+    """Name of a set."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
 
 
-def _common(docs: DataFrame, doc_id: str, text: str) -> np.ndarray:
-    """Sorted hashes that several sampled rows hold."""
+def _common(docs: DataFrame, doc_id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes that several sampled rows hold, and the place of each by frequency."""
     every = max(1, docs.count() // SAMPLE)
     picked = docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(every)) == 0)
     held = map_texts(picked, lambda t: (shingles(t),), [], text, "hashes array<long>", ["hashes"], [pa.list_(pa.int64())])
     counts = held.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2")
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()], np.int64))
+    found = np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()], np.int64)
+    order = np.argsort(found)
+    return found[order], (len(found) - order).astype(np.int64)
 
 
-def _keys(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+def _keys(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The hashes of a set of which a similar set must share one."""
     p, q = SIMILARITY
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        late = common[at] == own
-        own = np.concatenate([own[~late], own[late]])
+    known, place = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        late = known[at] == own
+        last = own[late][np.argsort(place[at[late]], kind="stable")]
+        own = np.concatenate([own[~late], last])
     return own[: len(own) - -(-p * len(own) // q) + 1]
 
 
@@ -77,69 +101,113 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * (p + q) >= (F.size("set_a") + F.size("set_b")) * p).select("a", "b")
 
 
-def _pairs(sides: DataFrame) -> DataFrame:
-    """Distinct pairs of (x, n_x, y, n_y) whose sizes allow them to be similar."""
+def _fits() -> Column:
+    """Whether sets of sizes n_x and n_y can be similar."""
     p, q = SIMILARITY
-    fits = F.least("n_x", "n_y") * q >= F.greatest("n_x", "n_y") * p
-    return sides.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return F.least("n_x", "n_y") * q >= F.greatest("n_x", "n_y") * p
 
 
-def _open(blocks: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Rows of the keys whose sets are not all connected, with the component of each set."""
-    if links is None:
-        return blocks.withColumn("of", F.col("node"))
-    parts = cut(connected_components(links, "a", "b"), "parts").withColumnRenamed("node", "member")
+def _room() -> Column:
+    """Whether sets that share ``shared`` keys can be similar: beyond its keys one of them has nothing but its tail."""
+    p, q = SIMILARITY
+    tail = F.ceil(F.greatest("n_x", "n_y") * p / q) - 1
+    return (F.col("shared") + tail) * (p + q) >= (F.col("n_x") + F.col("n_y")) * p
+
+
+def _open(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the keys whose sets are not all known to be connected, with what each set belongs to (member, component)."""
     now = blocks.join(parts, blocks.node == parts.member, "left").withColumn("of", F.coalesce("component", "node")).drop("member", "component")
     mixed = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("key")
     return now.join(mixed, "key")
 
 
-def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links that connect exactly the similar sets that share a key."""
-    links = None
-    crowds = blocks.where(F.col("many") > CROWD)
-    for turn in range(0 if crowds.isEmpty() else ROUNDS):
-        rows = cut(_open(crowds, links), "crowd")
-        centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "n", "of")).alias("c"))
-        sides = rows.join(centre, "key").where(F.col("of") != F.col("c.of")).select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("c.node").alias("y"), F.col("c.n").alias("n_y"))
-        found = _similar(cut(_pairs(sides), "stars"), sets)
-        links = cut(found if links is None else links.unionAll(found), "links")
-    rows = cut(_open(blocks, links), "open")
+def _proposals(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or linked, as a forest."""
+    of = cut(nodes.groupBy("fp").agg(F.min("node").alias("low")), "prints")
+    equal = nodes.join(of, "fp").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    near = simhash.fingerprint_links(of)
+    one, two = (of.select(F.col("fp").alias(s), F.col("low").alias(f"low_{s}")) for s in "ab")
+    linked = near.join(one, "a").join(two, "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
+    return equal.unionAll(linked)
+
+
+def _links(blocks: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): links that connect exactly the similar sets that share a key; ``links`` are known ones."""
+    stars = links.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("component"))  # members of one star are connected
+    rows = cut(_open(blocks, stars), "star")
+    centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "node", "n", "of")).alias("c"))
+    sides = rows.join(centre, "key").where(F.col("of") != F.col("c.of")).select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("c.node").alias("y"), F.col("c.n").alias("n_y"))
+    pairs = cut(sides.where(_fits()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    links = cut(links.unionAll(_similar(pairs, sets)), "links")
+    parts = cut(connected_components(links, "a", "b"), "parts").withColumnRenamed("node", "member")
+    rows = cut(_open(blocks, parts), "open")
     one, two = (rows.select("key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("of").alias(f"of_{s}")) for s in "xy")
-    found = _similar(cut(_pairs(one.join(two, "key").where("of_x < of_y")), "pairs"), sets)
-    return found if links is None else links.unionAll(found)
+    met = one.join(two, "key").where("of_x < of_y").where(_fits()).groupBy("x", "n_x", "y", "n_y").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = cut(met.where(_room()).select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
+    return links.unionAll(_similar(pairs, sets))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, hashes) of the wanted (id, content): a second reading that skips texts by a filter.
+
+    The filter is a bit map of fixed size over ids and contents; whatever it lets through beside the
+    wanted rows costs work but changes nothing.
+    """
+    place = F.pmod(F.xxhash64(F.col(_ID), F.col(_CONTENT)), F.lit(FILTER_BITS))
+    words = wanted.select(place.alias("h")).groupBy(F.floor(F.col("h") / _WORD_BITS).alias("word")).agg(F.bitmap_construct_agg(F.col("h") % _WORD_BITS).alias("bits"))
+    bits = bytearray(FILTER_BITS // 8)
+    for r in words.collect():  # FILTER_BITS in all, whatever the data
+        bits[r["word"] * _WORD_BITS // 8 : (r["word"] + 1) * _WORD_BITS // 8] = r["bits"]
+    bits = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            for i in np.flatnonzero(known[h >> 3] >> (h & 7) & 1).tolist():
+                own = shingles(batch.column(1)[i].as_py() or "")
+                yield pa.RecordBatch.from_arrays([pa.array([_node(own)]), pa.array([own], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    read = docs.select(F.pmod(F.xxhash64(F.col(doc_id), content), F.lit(FILTER_BITS)).alias("h"), text)
+    return map_arrow(read, run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct set: node, the class it belongs to, and id and content of its first row."""
+    """One row per distinct set: the class it belongs to, and id and content of its first row."""
     common = _common(docs, doc_id, text)
 
     def measure(t: str) -> tuple:
-        own = shingles(t)
-        return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), len(own), _keys(own, common)
+        every = hashes(t)
+        own = np.unique(every.view(np.int64))
+        return _node(own), len(own), simhash.majority(every), _keys(own, common)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     content = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content")
-    names, types = ["node", "n", "keys"], [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    prints = cut(map_texts(docs.select(doc_id, content, text), measure, [doc_id, "content"], text, f"`{doc_id}` {kind}, content long, node long, n long, keys array<long>", names, types), "prints")
-    first = F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), "content", "n", "keys")
+    names, types = ["node", "n", "fp", "keys"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    schema = f"`{doc_id}` {kind}, content long, node long, n long, fp long, keys array<long>"
+    prints = cut(map_texts(docs.select(doc_id, content, text), measure, [doc_id, "content"], text, schema, names, types), "prints")
+    first = F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), "content", "n", "fp", "keys")
     nodes = cut(prints.groupBy("node").agg(F.min(first).alias("best")).select("node", "best.*"), "nodes")
+    discard(prints)
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key"), "shared")
     blocks = cut(keyed.join(shared, "key"), "blocks")
-    wanted = nodes.join(blocks.select("node").distinct(), "node").select("node", F.col("id").alias(_ID), F.col("content").alias(_CONTENT))
-    texts = docs.select(doc_id, content, text).join(wanted, F.col(doc_id).eqNullSafe(F.col(_ID)) & (F.col("content") == F.col(_CONTENT)))
-    hashed = map_texts(texts, lambda t: (shingles(t),), ["node"], text, "node long, hashes array<long>", ["hashes"], [pa.list_(pa.int64())])
-    sets = cut(hashed.dropDuplicates(["node"]), "sets")
-    linked = connected_components(cut(_links(blocks, sets), "links"), "a", "b").withColumnRenamed("node", "member")
-    of = nodes.join(linked, nodes.node == linked.member, "left")
-    return of.select("node", F.coalesce("component", "node").alias("class"), "unknown", "id", "content")
+    narrow = cut(nodes.select("node", "fp", "unknown", "id", "content"), "narrow")
+    discard(nodes)
+    proposals = cut(_proposals(narrow.select("node", "fp")), "proposals")
+    used = blocks.select("node").unionAll(proposals.select("a")).unionAll(proposals.select("b")).distinct()
+    wanted = narrow.join(used, "node", "left_semi").select(F.col("id").alias(_ID), F.col("content").alias(_CONTENT))
+    sets = cut(_sets(docs, wanted, doc_id, text), "sets")
+    known = cut(_similar(proposals, sets), "links")
+    linked = connected_components(cut(_links(blocks, sets, known), "links"), "a", "b").withColumnRenamed("node", "member")
+    of = cut(narrow.join(linked, narrow.node == linked.member, "left").select("node", F.coalesce("component", "node").alias("class"), "unknown", "id", "content"), "classes")
+    for table in (shared, blocks, narrow, proposals, sets, known):
+        discard(table)
+    return of
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each class: the one of the smallest id (rows without an id last)."""
     best = classes(docs, doc_id, text).groupBy("class").agg(F.min(F.struct("unknown", "id", "content")).alias("best"))
-    best = cut(best.select(F.col("best.id").alias(_ID), F.col("best.content").alias(_CONTENT)), "kept")
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.join(best, F.col(doc_id).eqNullSafe(F.col(_ID)) & (content == F.col(_CONTENT)))
-    return kept.dropDuplicates([_ID, _CONTENT]).select(*docs.columns)
+    return simhash.keep_rows(docs, best.select("best.id", "best.content"), doc_id, text)

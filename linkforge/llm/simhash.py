@@ -40,6 +40,16 @@ _ID, _CONTENT = "__linkforge_id", "__linkforge_content"
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed integer."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
+    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, n, 65_536):
+        ones += np.unpackbits(raw[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits((ones * 2 > n).astype(np.uint8), bitorder="little")
+    return int(bits.view("<i8")[0])
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash of a whole text, as a signed integer."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and ASCII white space only
@@ -53,12 +63,7 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-1]]).tolist()
         hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)], np.uint64)
-    n, ones = len(hashes), np.zeros(64, np.int64)
-    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    for at in range(0, n, 65_536):
-        ones += np.unpackbits(raw[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((ones * 2 > n).astype(np.uint8), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,13 +211,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return classes(docs, doc_id, text, radius).select(doc_id, "fp", "component_id")
 
 
+def keep_rows(docs: DataFrame, best: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``best`` (id, content) names, each once.
+
+    Rows move once, to meet the small table. Only rows that occur several times are told apart in a
+    second, filtered reading; there are few names of such rows, if any.
+    """
+    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    same = F.col(doc_id).eqNullSafe(F.col(_ID)) & (content == F.col(_CONTENT))
+    best = cut(best.select(F.col("id").alias(_ID), F.col("content").alias(_CONTENT)), "best")
+    times = docs.select(F.col(doc_id).alias("i"), content.alias("c")).groupBy("i", "c").count().where("count > 1")
+    many = cut(best.join(times, F.col(_ID).eqNullSafe(F.col("i")) & (F.col(_CONTENT) == F.col("c")), "left_semi"), "many")
+    once = best.join(many.select(F.col(_ID).alias("i"), F.col(_CONTENT).alias("c")), F.col(_ID).eqNullSafe(F.col("i")) & (F.col(_CONTENT) == F.col("c")), "left_anti")
+    repeated = docs.join(many, same).dropDuplicates([_ID, _CONTENT]).select(*docs.columns)
+    return docs.join(once, same, "left_semi").unionAll(repeated)
+
+
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each class: the one of the smallest id (rows without an id last)."""
     first = F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), "content")
-    best = classes(docs, doc_id, text, radius).groupBy("class_fp").agg(F.min(first).alias("best")).select(F.col("best.id").alias(_ID), F.col("best.content").alias(_CONTENT))
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.join(best, F.col(doc_id).eqNullSafe(F.col(_ID)) & (content == F.col(_CONTENT)))
-    return kept.dropDuplicates([_ID, _CONTENT]).select(*docs.columns)
+    best = classes(docs, doc_id, text, radius).groupBy("class_fp").agg(F.min(first).alias("best"))
+    return keep_rows(docs, best.select("best.id", "best.content"), doc_id, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
