@@ -17,6 +17,7 @@ _DIGITS_ONLY = (
     r"^[\p{Nd}፩-፱᧚⓵-⓽⓿❶-❾➀-➈➊-➒"
     r"\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}]+$"
 )
+#: What counts as a house number and as a postal code.
 _NUMBER = r"(?iu)(?<![a-z0-9])\p{Nd}+[a-z]?(?![a-z0-9])"
 _POSTAL = r"(?<![\p{L}\p{N}_])\p{Nd}{4,6}(?:-\p{Nd}{4})?(?![\p{L}\p{N}_])"
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from linkforge.functions import address, text
 
+#: The categories in order of precedence, and the overlapping flags.
 CATEGORIES = (
     "word_order_change", "legal_suffix_variation", "additional_or_missing_tokens", "abbreviation_variation", "typo_or_spelling_variation",
     "partial_or_truncated_name", "transliteration_or_unicode_variation", "very_short_name", "weak_name_address_informative",

@@ -1,8 +1,9 @@
 """Candidate persistence, replay and validation.
 
-Edges and the S1 manifest are Parquet, partitioned by target source and ordered within range
-partitions; a digest per partition range is rolled up in order. ``export_jsonl`` writes the
-byte-exact single-file form with running checksums.
+Edges and the S1 manifest are Parquet, in a folder per stage and target source, ordered within
+range partitions; the manifest is made from the edges as written. A checksum is the sum of the rows'
+line digests with their number, so it does not depend on how rows are laid out. ``export_jsonl``
+writes the ordered single-file form.
 """
 
 from __future__ import annotations
@@ -108,11 +109,10 @@ def persist(
 ) -> dict:
     """Write edges, S1 manifest and summary below ``path``; returns the summary."""
     rows = edge_table(edges, stage, target_source, threshold, split_id, names, signals)
-    manifest = manifest_table(universe, edges, target_source, with_signal, with_match)
-    base = f"{path}/{stage}/{target_source}"
+    base, spark = f"{path}/{stage}/{target_source}", universe.sparkSession
     rows.repartitionByRange("s1_id").sortWithinPartitions("s1_id", "target_id").write.mode("overwrite").parquet(f"{base}/candidates")
+    manifest = manifest_table(universe, spark.read.parquet(f"{base}/candidates"), target_source, with_signal, with_match)
     manifest.repartitionByRange("s1_id").sortWithinPartitions("s1_id").write.mode("overwrite").parquet(f"{base}/s1_manifest")
-    spark = universe.sparkSession
     summary = summarise(spark.read.parquet(f"{base}/candidates"), spark.read.parquet(f"{base}/s1_manifest"))
     summary |= {"schema_version": SCHEMA_VERSION, "stage_id": stage, "target_source": target_source, "threshold": threshold, "split_id": split_id, "families": names or [stage]}
     spark.createDataFrame([(json.dumps(summary, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/manifest")

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Slices of the hash range that a stratum is ranked in: two to this power.
-SLICE_BITS = 12
+#: Slices of the hash range that a stratum is ranked in: sixteen to this power.
+SLICE_DIGITS = 3
+#: Beginning of names that no table has.
+_OWN = "__linkforge_"
+
+
+def _hash(seed: int, key: str) -> Column:
+    """The place of a row: MD5 of the seed and the key, which any engine can restate."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
 
 
 def _by(seed: int, key: str) -> list:
-    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    return [_hash(seed, key), F.col(key)]
 
 
 def stratified(rows: DataFrame, strata: list[str], fraction: float, key: str, seed: int = 42) -> DataFrame:
@@ -20,17 +27,17 @@ def stratified(rows: DataFrame, strata: list[str], fraction: float, key: str, se
     Ranks are taken in two levels, by slice of the hash range and then within the slice, so that a
     stratum of very many rows is never sorted in one task. A null stratum is one of its own.
     """
-    at = F.xxhash64(F.lit(seed), F.col(key))
-    sliced = rows.withColumn("_at", at).withColumn("_slice", F.shiftright("_at", 64 - SLICE_BITS))
-    sizes = sliced.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    whole, upto = Window.partitionBy(*strata), Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.bround(F.lit(fraction) * F.sum("_n").over(whole)) - F.coalesce(F.sum("_n").over(upto), F.lit(0))
-    sizes = sizes.withColumn("_take", wanted).where("_take > 0").select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_slice").alias("_of"), "_take")
-    same = F.col("_slice") == F.col("_of")
+    at, part, n, take, of, rank = (f"{_OWN}{x}" for x in ("at", "slice", "n", "take", "of", "place"))
+    sliced = rows.withColumn(at, _hash(seed, key)).withColumn(part, F.substring(at, 1, SLICE_DIGITS))
+    sizes = sliced.groupBy(*strata, part).agg(F.count(F.lit(1)).alias(n))
+    whole, upto = Window.partitionBy(*strata), Window.partitionBy(*strata).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.bround(F.lit(fraction) * F.sum(n).over(whole)) - F.coalesce(F.sum(n).over(upto), F.lit(0))
+    sizes = sizes.withColumn(take, wanted).where(F.col(take) > 0).select(*[F.col(c).alias(f"{_OWN}s{i}") for i, c in enumerate(strata)], F.col(part).alias(of), take)
+    same = F.col(part) == F.col(of)
     for i, c in enumerate(strata):
-        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
-    place = F.row_number().over(Window.partitionBy(*strata, "_slice").orderBy("_at", key))
-    return sliced.join(sizes, same).withColumn("_place", place).where("_place <= _take").select(*rows.columns)
+        same = same & F.col(c).eqNullSafe(F.col(f"{_OWN}s{i}"))
+    place = F.row_number().over(Window.partitionBy(*strata, part).orderBy(at, key))
+    return sliced.join(sizes, same).withColumn(rank, place).where(F.col(rank) <= F.col(take)).select(*rows.columns)
 
 
 def simple(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -41,4 +48,4 @@ def simple(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 def per_group(rows: DataFrame, group: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows of every group."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(*_by(seed, key)))
-    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    return rows.withColumn(f"{_OWN}place", place).where(F.col(f"{_OWN}place") <= n).drop(f"{_OWN}place")

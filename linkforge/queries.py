@@ -553,10 +553,9 @@ def country_shift(spark, d):
     return quality.shift(fixture(spark, d, "er_s1"), fixture(spark, d, "er_s2"))
 
 
-@query("id_overlap", o.fix("select entity_id from er_s2 where entity_id like '%8' intersect select entity_id from er_s2 where entity_id like '%28'"))
+@query("id_overlap", o.fix("select entity_id from er_s2 intersect select target_id as entity_id from er_truth"))
 def id_overlap(spark, d):
-    s = fixture(spark, d, "er_s2")
-    return quality.overlap(s.where("entity_id like '%8'"), s.where("entity_id like '%28'"))
+    return quality.overlap(fixture(spark, d, "er_s2"), fixture(spark, d, "er_truth").withColumnRenamed("target_id", "entity_id"))
 
 
 # --- features, matchers, scores --------------------------------------------------------------
@@ -615,17 +614,21 @@ def cost_model(spark, d):
 # --- sampling, persistence, validation -------------------------------------------------------
 
 
-@query("split_stratified")
+def _place(key: str) -> str:
+    return f"md5('42|' || {key}), {key}"
+
+
+@query("split_stratified", o.fix(f"select s1_id, country, s2, s3, matches, bucket from (select *, row_number() over (partition by country, bucket order by {_place('s1_id')}) as place, count(*) over (partition by country, bucket) as n from (select *, case when matches = 0 then '0' when matches = 1 then '1' else '2+' end as bucket from m)) where place <= round_even(0.2::double * n, 0)", _COUNTED))
 def split_stratified(spark, d):
     return sampling.stratified(_counted(spark, d), ["country", "bucket"], 0.2, "s1_id")
 
 
-@query("sample_pairs")
+@query("sample_pairs", o.fix(f"select s1_id, target_id, s1_id || '|' || target_id as pair from truth order by {_place('(s1_id || chr(124) || target_id)')} limit 100", o.truth()))
 def sample_pairs(spark, d):
     return sampling.simple(truth(spark, d).withColumn("pair", F.concat_ws("|", "s1_id", "target_id")), 100, "pair")
 
 
-@query("sample_per_source")
+@query("sample_per_source", o.fix(f"select entity_id, business_name, business_address, country, source from (select *, row_number() over (partition by source order by {_place('entity_id')}) as place from (select *, split_part(entity_id, '-', 1) as source from (select * from er_s2 union all select * from er_s3))) where place <= 50"))
 def sample_per_source(spark, d):
     both = fixture(spark, d, "er_s2").unionAll(fixture(spark, d, "er_s3"))
     return sampling.per_group(both.withColumn("source", text.source_of(F.col("entity_id"))), "source", 50, "entity_id")

@@ -1,5 +1,6 @@
 """Sources, persistence, validation, components, sampling, quality, streaming, registry."""
 
+import hashlib
 import random
 
 import pytest
@@ -147,14 +148,16 @@ def test_samples_are_stable(spark):
 
 def test_stratified_sample_follows_the_hash_order(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 2).alias("g"))
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(42), F.col("k"))).collect()
+    hashed = [(hashlib.md5(f"42|{r['k']}".encode()).hexdigest(), r["k"], r["g"]) for r in rows.collect()]
     want = set()
     for g in (None, 0, 1):
-        own = sorted((r["h"], r["k"]) for r in hashed if r["g"] == g)
+        own = sorted((h, k) for h, k, of in hashed if of == g)
         want |= {k for _, k in own[: round(0.3 * len(own))]}
     got = sampling.stratified(rows, ["g"], 0.3, "k")
     assert got.columns == rows.columns and {r["k"] for r in got.collect()} == want
     assert sampling.stratified(rows.limit(0), ["g"], 0.3, "k").count() == 0
+    clashing = rows.withColumnsRenamed({"k": "_at"}).withColumn("_n", F.lit(1)).withColumn("_place", F.lit(2))
+    assert {r["_at"] for r in sampling.stratified(clashing, ["g"], 0.3, "_at").collect()} == want
 
 
 def test_diagnosis_precedence(spark):
