@@ -7,8 +7,9 @@ The rest is found by prefixes: all texts order their hashes alike (those that a
 common come last, the more common the later), and two sets of similarity ``SIMILARITY`` or more
 share a hash among the first ``n - ceil(SIMILARITY * n) + 1`` of each, so joining on these keys loses
 no pair; the sample changes the work only, never the result. In every key all sets are first compared
-with one of them; of what is not yet connected, a pair is compared whole only if the keys it shares
-leave room for similarity. Equal sets are collapsed first.
+with the one that holds most of what others hold; of what is not yet connected, a pair is compared
+whole only if the keys it shares leave room for similarity. Pairs of small keys come from a join,
+those of crowded keys from matrix products over pairs of bounded chunks. Equal sets are collapsed first.
 
 Whole sets are fetched for the candidates alone, by a second reading of the texts, so no text is
 shuffled before the rows to keep are chosen.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.llm import simhash
-from linkforge.llm.arrow import map_arrow, map_texts
+from linkforge.llm.arrow import map_arrow, map_texts, runs
 from linkforge.operators.components import connected_components
 from linkforge.runtime import cut, discard
 
@@ -39,6 +40,8 @@ SEED = 42
 SIMILARITY = (4, 5)
 #: Rows looked at for common hashes, and the common hashes kept at most.
 SAMPLE, COMMON = 10_000, 100_000
+#: Keys of more sets are crowded; so many sets of a crowded key are compared with as many at once.
+CROWD, CHUNK = 32, 1024
 #: Bits of the filter that leaves most texts out of the second reading, in words of 4,096 bytes.
 FILTER_BITS = 1 << 26
 _WORD_BITS = 32_768
@@ -115,12 +118,76 @@ def _room() -> Column:
 
 
 def _open(blocks: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of the keys whose sets are not all known to be connected, with what each set belongs to (member, component)."""
+    """Rows of the keys whose sets are not all known to be connected, with what each set belongs to (member,
+    component) and how many sets hold the key."""
     now = blocks.join(parts, blocks.node == parts.member, "left").withColumn("of", F.coalesce("component", "node")).drop("member", "component")
-    mixed = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("key")
+    mixed = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("many")).where("low < high").select("key", "many")
     return now.join(mixed, "key")
 
 
+def _block_pairs(t: pa.Table) -> pa.RecordBatch | None:
+    """Pairs of one crowded key's sets, or of one pair of its chunks, that the keys they share leave room for."""
+    p, q = SIMILARITY
+    t = t.combine_chunks()
+    key, across = t.column("key")[0].as_py(), t.column("p")[0].as_py() != t.column("q")[0].as_py()
+    node, n, of, own, other = (t.column(c).to_numpy() for c in ("node", "n", "of", "own", "others"))
+    lists = t.column("crowded").chunk(0)
+    row, flat = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    values, column, held = np.unique(flat, return_inverse=True, return_counts=True)
+    shared, before = (np.zeros((len(node), len(node)), np.float32) for _ in range(2))
+    wanted = np.flatnonzero(held > 1)
+    for at in range(0, len(wanted), CHUNK):
+        part = wanted[at : at + CHUNK]
+        place = np.full(len(values), -1)
+        place[part] = np.arange(len(part))
+        some = place[column] >= 0
+        grid = np.zeros((len(node), len(part)), np.float32)
+        grid[row[some], place[column[some]]] = 1
+        shared += grid @ grid.T
+        early = grid[:, values[part] < key]
+        if early.shape[1]:
+            before += early @ early.T
+    least, most = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    tail = -(-most * p // q) - 1
+    room = (shared + np.minimum(other[:, None], other[None, :]) + tail) * (p + q) >= (least + most) * p
+    hit = (of[:, None] < of[None, :]) & (before == 0) & (least * q >= most * p) & room  # a pair counts where its first crowded key is
+    if across:
+        hit &= own[:, None] != own[None, :]
+    x, y = np.nonzero(hit)
+    cols = [node[x], n[x], node[y], n[y], shared[x, y].astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["x", "n_x", "y", "n_y", "shared"]) if len(x) else None
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(x, n_x, y, n_y, shared): unconnected pairs that meet in crowded keys, with the crowded keys they share.
+
+    A key's sets are dealt out as pairs of chunks and compared there all at once, by a product of their
+    incidence with crowded keys; what leaves a task is only what may be similar, once a pair.
+    """
+    crowd = F.col("many") > CROWD
+    held = rows.groupBy("node").agg(F.collect_list(F.when(crowd, F.col("key"))).alias("crowded"), F.count_if(~crowd).alias("others"))
+    parts = F.ceil(F.col("many") / CHUNK).cast("int")
+    dealt = (
+        rows.where(crowd)
+        .join(held, "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("key", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "node", "n", "of", "own", "others", "crowded")
+    )
+    order = ["key", "p", "q"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, order, CHUNK):
+            change = np.ones(table.num_rows, bool)
+            change[1:] = np.any([(v := table.column(c).to_numpy())[1:] != v[:-1] for c in order], axis=0)
+            starts = np.append(np.flatnonzero(change), table.num_rows).tolist()
+            for i, j in zip(starts, starts[1:], strict=False):
+                if (out := _block_pairs(table.slice(i, j - i))) is not None:
+                    yield out
+
+    return map_arrow(dealt.repartition(*order).sortWithinPartitions(*order), run, "x long, n_x long, y long, n_y long, shared long")
+
+
 def _proposals(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets whose fingerprints are equal or linked, as a forest."""
     of = cut(nodes.groupBy("fp").agg(F.min("node").alias("low")), "prints")
@@ -135,14 +202,17 @@ def _links(blocks: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b): links that connect exactly the similar sets that share a key; ``links`` are known ones."""
     stars = links.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("component"))  # members of one star are connected
     rows = cut(_open(blocks, stars), "star")
-    centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "node", "n", "of")).alias("c"))
+    heft = rows.groupBy("node").agg(F.sum("many").alias("heft"))  # the least edited of many copies holds most of what they share
+    centre = rows.join(heft, "node").groupBy("key").agg(F.max(F.struct("heft", "node", "n", "of")).alias("c"))
     sides = rows.join(centre, "key").where(F.col("of") != F.col("c.of")).select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("c.node").alias("y"), F.col("c.n").alias("n_y"))
     pairs = cut(sides.where(_fits()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     links = cut(links.unionAll(_similar(pairs, sets)), "links")
     parts = cut(connected_components(links, "a", "b"), "parts").withColumnRenamed("node", "member")
     rows = cut(_open(blocks, parts), "open")
-    one, two = (rows.select("key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("of").alias(f"of_{s}")) for s in "xy")
-    met = one.join(two, "key").where("of_x < of_y").where(_fits()).groupBy("x", "n_x", "y", "n_y").agg(F.count(F.lit(1)).alias("shared"))
+    few = rows.where(F.col("many") <= CROWD)
+    one, two = (few.select("key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("of").alias(f"of_{s}")) for s in "xy")
+    met = one.join(two, "key").where("of_x < of_y").where(_fits()).select("x", "n_x", "y", "n_y", F.lit(1).cast("long").alias("shared"))
+    met = met.unionByName(_crowded(rows)).groupBy("x", "n_x", "y", "n_y").agg(F.sum("shared").alias("shared"))
     pairs = cut(met.where(_room()).select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
     return links.unionAll(_similar(pairs, sets))
 

@@ -52,9 +52,11 @@ def edited(rng):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("sample", [10_000, 20])
-def test_stage_equals_brute_force(spark, sample, monkeypatch):
+@pytest.mark.parametrize(("sample", "crowd", "chunk"), [(10_000, 32, 1024), (20, 2, 8)])
+def test_stage_equals_brute_force(spark, sample, crowd, chunk, monkeypatch):
     monkeypatch.setattr(shingles, "SAMPLE", sample)
+    monkeypatch.setattr(shingles, "CROWD", crowd)
+    monkeypatch.setattr(shingles, "CHUNK", chunk)
     rows = edited(random.Random(sample))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
