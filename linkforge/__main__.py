@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from linkforge import evaluations, queries
 from linkforge.operators import validate
+from linkforge.runtime import exists
 from linkforge.sources.tables import read_ids
 
 
@@ -25,12 +26,12 @@ def issues(spark: SparkSession, matching: str, s1: str, candidates: str | None =
     for path in targets or []:
         ids = read_ids(spark, path)
         known = ids if known is None else known.unionAll(ids)
-    lines = validate.read_lines(spark, matching)
-    out = validate.list_issues(lines, "matching", required, known).select(F.lit("matching").alias("list"), "*")
+    out = validate.file_issues(spark, matching, "matching", required, known).select(F.lit("matching").alias("list"), "*")
     if candidates:
-        others = validate.read_lines(spark, candidates)
-        out = out.unionAll(validate.list_issues(others, "candidates", required, known).select(F.lit("candidates"), "*"))
-        out = out.unionAll(validate.not_candidates(lines, others).select(F.lit("matching"), "*"))
+        out = out.unionAll(validate.file_issues(spark, candidates, "candidates", required, known).select(F.lit("candidates"), "*"))
+        if exists(spark, matching) and exists(spark, candidates):
+            lists = (validate.read_lines(spark, p) for p in (matching, candidates))
+            out = out.unionAll(validate.not_candidates(*lists).select(F.lit("matching"), "*"))
     return out
 
 

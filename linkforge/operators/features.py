@@ -41,6 +41,18 @@ def pair_features(frame: DataFrame) -> DataFrame:
     )
 
 
+def provenance(tagged: DataFrame, names: list[str]) -> DataFrame:
+    """(s1_id, target_id, from_*, family_count): which blocking families found a pair, from its ``stages`` bits."""
+    flags = [(F.col("stages").bitwiseAND(F.lit(1 << i).cast("long")) != 0).cast("int").alias(f"from_{n}") for i, n in enumerate(names)]
+    return tagged.select("s1_id", "target_id", *flags, F.bit_count("stages").alias("family_count"))
+
+
+def with_provenance(features: DataFrame, tagged: DataFrame, names: list[str]) -> DataFrame:
+    """Pair features with the flags of the blocking families; a pair that no family found has zeros."""
+    own = provenance(tagged, names)
+    return features.join(own, ["s1_id", "target_id"], "left").fillna(0, [f"from_{n}" for n in names] + ["family_count"])
+
+
 def match_exact_name(features: DataFrame) -> DataFrame:
     """Pairs of equal names."""
     return features.where("name_exact = 1").select("s1_id", "target_id")

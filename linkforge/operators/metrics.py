@@ -93,6 +93,8 @@ def marginal_recovery(universe: DataFrame, truth: DataFrame, stages: dict[str, D
                 added.alias("added"),
                 F.coalesce(F.try_divide(gained, F.sum("truth")), F.lit(0.0)).alias("marginal_recall"),
                 F.try_divide(added, gained).alias("cost"),
+                F.try_divide(F.sum(f"{now}_n"), F.sum(f"{before}_n")).alias("growth"),
+                F.try_divide(gained * 1_000_000, F.sum("truth") * added).alias("recall_per_million"),
                 F.sum(t - b).alias("missed_before"),
                 F.coalesce(F.try_divide(gained, F.sum(t - b)), F.lit(0.0)).alias("share_of_missed"),
             )
@@ -129,6 +131,33 @@ def macro_f05(universe: DataFrame, truth: DataFrame, predicted: DataFrame) -> Da
     )
 
 
+def grouped_metrics(universe: DataFrame, truth: DataFrame, edges: DataFrame, predicted: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """One row of pair and entity figures of candidates, predictions and ranks (s1_id, target_id, rank).
+
+    Every S1 entity counts in the rates; the accuracies are over those with true targets, and an
+    entity is right at k if one of its first k targets is true. Conversion is predictions per candidate.
+    """
+    tagged = tag([edges.distinct(), predicted.distinct(), ranked.where("rank = 1"), ranked.where(F.col("rank") <= k)])
+    flags = {n: F.col("stages").bitwiseAND(F.lit(1 << i).cast("long")) != 0 for i, n in enumerate(("c", "p", "one", "k"))}
+    per = _per_entity(universe, truth, tagged, flags)
+    true, all_ = F.col("truth") > 0, F.count(F.lit(1))
+    rate = lambda c: F.try_divide(F.count_if(c), all_)
+    right = lambda c: F.try_divide(F.count_if(true & (F.col(c) > 0)), F.count_if(true))
+    return per.agg(
+        F.try_divide(F.sum("p_hit"), F.sum("p_n")).alias("pair_precision"),
+        F.try_divide(F.sum("p_hit"), F.sum("truth")).alias("pair_recall"),
+        F.try_divide(2 * F.sum("p_hit"), F.sum("p_n") + F.sum("truth")).alias("pair_f"),
+        right("one_hit").alias("top_1_accuracy"),
+        right("k_hit").alias("top_k_accuracy"),
+        rate(F.col("p_hit") == F.col("truth")).alias("complete_entity_recall"),
+        rate(F.col("p_n") == 0).alias("abstention_rate"),
+        rate(~true & (F.col("p_n") > 0)).alias("false_alarm_rate"),
+        F.try_divide(F.sum("p_n"), F.sum("c_n")).alias("conversion"),
+        rate(F.col("c_n") == 0).alias("zero_candidate_rate"),
+        rate((F.col("c_n") > 0) & (F.col("c_hit") < F.col("truth"))).alias("incomplete_coverage_rate"),
+    )
+
+
 def cost_model(metrics: DataFrame, ms_per_pair: list[float], bytes_per_pair: list[int]) -> DataFrame:
     """Modelled scoring seconds and gibibytes of each stage at several costs per pair."""
     grid = metrics.select("stage", "candidate_pairs").withColumn("ms", F.explode(F.array(*[F.lit(float(m)) for m in ms_per_pair]))).withColumn("pair_bytes", F.explode(F.array(*[F.lit(b) for b in bytes_per_pair])))

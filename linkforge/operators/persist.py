@@ -1,13 +1,14 @@
 """Candidate persistence, replay and validation.
 
 Edges and the S1 manifest are Parquet, in a folder per stage and target source, ordered within
-range partitions; the manifest is made from the edges as written. A checksum is the sum of the rows'
-line digests with their number, so it does not depend on how rows are laid out. ``export_jsonl``
+range partitions; the manifest is made from the edges as written. A checksum is taken over the sums of
+the rows' SHA-256, so it does not depend on how rows are laid out; the summary has those of the inputs too. ``export_jsonl``
 writes the ordered single-file form.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -92,22 +93,26 @@ def coverage(manifest: DataFrame, edges: DataFrame, truth: DataFrame, labelled:
 
 
 def line(columns: list[str]):
-    """Canonical JSON of a row: keys in order, nulls kept."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    """Canonical JSON of a row: keys in order, nulls kept, ASCII only."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"})
 
 
 def checksum(table: DataFrame, order: list[str]) -> str:
-    """Order-independent content checksum: the sum of the rows' line digests, with the row count."""
-    digest = F.conv(F.substring(F.sha2(line(table.columns).cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    row = table.agg(F.sum(digest).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    return f"{row['n']}:{row['d'] or 0}"
+    """Order-independent content checksum: row count and SHA-256 of the sums of all parts of the rows' SHA-256."""
+    rows = table.select(F.sha2(line(table.columns).cast("binary"), 256).alias("h"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string").alias(f"d{i}") for i in range(8)]
+    row = rows.agg(F.count(F.lit(1)).alias("n"), *parts).first()
+    return f"{row['n']}:{hashlib.sha256(','.join(row[1:]).encode()).hexdigest()}"
 
 
 def persist(
     universe: DataFrame, edges: DataFrame, path: str, stage: str, target_source: str, threshold: int | None = None, with_signal: DataFrame | None = None, with_match: DataFrame | None = None,
-    split_id: str | None = None, names: list[str] | None = None, signals: DataFrame | None = None,
+    split_id: str | None = None, names: list[str] | None = None, signals: DataFrame | None = None, inputs: dict[str, DataFrame] | None = None,
 ) -> dict:
-    """Write edges, S1 manifest and summary below ``path``; returns the summary."""
+    """Write edges, S1 manifest and summary below ``path``; returns the summary.
+
+    ``inputs`` names the tables the edges come from, whose checksums go into the summary.
+    """
     rows = edge_table(edges, stage, target_source, threshold, split_id, names, signals)
     base, spark = f"{path}/{stage}/{target_source}", universe.sparkSession
     rows.repartitionByRange("s1_id").sortWithinPartitions("s1_id", "target_id").write.mode("overwrite").parquet(f"{base}/candidates")
@@ -115,6 +120,7 @@ def persist(
     manifest.repartitionByRange("s1_id").sortWithinPartitions("s1_id").write.mode("overwrite").parquet(f"{base}/s1_manifest")
     summary = summarise(spark.read.parquet(f"{base}/candidates"), spark.read.parquet(f"{base}/s1_manifest"))
     summary |= {"schema_version": SCHEMA_VERSION, "stage_id": stage, "target_source": target_source, "threshold": threshold, "split_id": split_id, "families": names or [stage]}
+    summary["input_checksums"] = {k: checksum(t, []) for k, t in (inputs or {}).items()}
     spark.createDataFrame([(json.dumps(summary, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/manifest")
     return summary
 
@@ -135,8 +141,8 @@ def replay(spark, path: str, stage: str, target_source: str) -> DataFrame:
     return rows
 
 
-def validate(spark, path: str, stage: str, target_source: str, universe: DataFrame) -> dict:
-    """Check order, S1 universe, counts and checksums of a persisted stage; returns its summary."""
+def validate(spark, path: str, stage: str, target_source: str, universe: DataFrame, inputs: dict[str, DataFrame] | None = None) -> dict:
+    """Check order, S1 universe, counts and checksums of a persisted stage, and of ``inputs``; returns its summary."""
     base = f"{path}/{stage}/{target_source}"
     rows, manifest = replay(spark, path, stage, target_source), spark.read.parquet(f"{base}/s1_manifest")
     if candidate_order(rows.drop("candidate_order").withColumn("_o", F.lit(0))).join(rows.select("s1_id", "target_id", F.col("candidate_order").alias("had")), ["s1_id", "target_id"]).where("had <> candidate_order").limit(1).count():
@@ -151,6 +157,9 @@ def validate(spark, path: str, stage: str, target_source: str, universe: DataFra
     for k, v in summarise(rows, manifest).items():
         if stored.get(k) != v:
             raise ValueError(f"summary differs: {k}")
+    for k, t in (inputs or {}).items():
+        if stored["input_checksums"].get(k) != checksum(t, []):
+            raise ValueError(f"input differs: {k}")
     return stored
 
 

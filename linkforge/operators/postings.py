@@ -85,6 +85,13 @@ def block_statistics(sizes: DataFrame) -> DataFrame:
     )
 
 
+def block_report(target: DataFrame, family: str, cap: int, country_aware: bool = True) -> DataFrame:
+    """One row of a key family: distinct keys, those up to the cap, and the statistics of its blocks."""
+    own = postings(target, family)
+    known = frequencies(own).agg(F.count(F.lit(1)).alias("distinct_keys"), F.count_if(F.col("freq") <= cap).alias("keys_up_to_cap"))
+    return known.crossJoin(block_statistics(block_sizes(own, country_aware))).select(F.lit(family).alias("family"), "*")  # one row each
+
+
 def extraction_statistics(prepared: DataFrame, family: str) -> DataFrame:
     """One row: rows, rows with a key, with several, occurrences, and distinct keys."""
     own = prepared.select(F.size(F.array_distinct(F.filter(keys(family), lambda k: k != ""))).alias("n"))

@@ -52,10 +52,18 @@ def prefixes(table: DataFrame) -> DataFrame:
     return table.groupBy(source_of(F.col("entity_id")).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(valid_id(F.col("entity_id"))).alias("valid"))
 
 
+def token_counts(table: DataFrame, column: str) -> DataFrame:
+    """(tokens, rows): how many rows have how many words."""
+    words = F.filter(F.split(F.coalesce(column, F.lit("")), r"\s+"), lambda w: w != "")
+    return table.groupBy(F.size(words).cast("long").alias("tokens")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def non_ascii_characters(table: DataFrame, column: str) -> DataFrame:
-    """(character, n): characters beyond ASCII and how often they occur."""
-    odd = table.where(has_non_ascii(F.col(column)))
-    return odd.select(F.explode(F.split(column, "")).alias("character")).where(has_non_ascii(F.col("character"))).groupBy("character").agg(F.count(F.lit(1)).alias("n"))
+    """(character, n, rows): characters beyond ASCII, how often they occur and in how many rows."""
+    odd = table.where(has_non_ascii(F.col(column))).select(F.filter(F.split(column, ""), lambda c: has_non_ascii(c)).alias("c"))
+    one = lambda n, rows: lambda c: F.struct(c.alias("character"), F.lit(n).alias("n"), F.lit(rows).alias("rows"))
+    both = F.concat(F.transform("c", one(1, 0)), F.transform(F.array_distinct("c"), one(0, 1)))
+    return odd.select(F.inline(both)).groupBy("character").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
 
 
 def match_counts(universe: DataFrame, truth: DataFrame) -> DataFrame:
@@ -122,6 +130,20 @@ def components(truth: DataFrame) -> DataFrame:
     return connected_components(truth, "s1_id", "target_id").where(F.col("node").startswith("S1-")).select(F.col("node").alias("s1_id"), "component")
 
 
+def component_extents(truth: DataFrame) -> DataFrame:
+    """(component, s1, s2, s3): entities of every source in each component."""
+    nodes = connected_components(truth, "s1_id", "target_id")
+    own = source_of(F.col("node"))
+    return nodes.groupBy("component").agg(*[F.count_if(own == s).alias(s.lower()) for s in ("S1", "S2", "S3")])
+
+
+def largest_components(extents: DataFrame) -> DataFrame:
+    """One row: components, and the most entities of every source, of S2 and S3, and of all in one of them."""
+    targets = F.col("s2") + F.col("s3")
+    most = [F.coalesce(F.max(c), F.lit(0)).alias(f"largest_{n}") for n, c in (("s1", F.col("s1")), ("s2", F.col("s2")), ("s3", F.col("s3")), ("targets", targets), ("all", F.col("s1") + targets))]
+    return extents.agg(F.count(F.lit(1)).alias("components"), *most)
+
+
 def component_sizes(labelled: DataFrame) -> DataFrame:
     """(size, components)."""
     return labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
@@ -135,6 +157,24 @@ def shift(train: DataFrame, test: DataFrame) -> DataFrame:
     return out.withColumn("is_new", (F.col("train_rows") == 0) & (F.col("test_rows") > 0))
 
 
+def length_shift(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, train_mean, test_mean, train_median, test_median, mean_difference): how lengths differ between two tables."""
+    a, b = (lengths(t, columns).select("field", F.col("mean").alias(f"{s}_mean"), F.col("median").alias(f"{s}_median")) for t, s in ((train, "train"), (test, "test")))
+    return a.join(b, "field").withColumn("mean_difference", F.round(F.col("test_mean") - F.col("train_mean"), 6))
+
+
+def first_match(lists: DataFrame) -> DataFrame:
+    """(s1_id, target_id): the first id of every S1 entity's list; entities without one are left out."""
+    first = F.substring_index("matched_entity_ids", ",", 1)
+    return lists.select(F.col("source1_entity_id").alias("s1_id"), first.alias("target_id")).where("target_id <> ''")
+
+
+def preview(table: DataFrame, k: int, key: str = "entity_id") -> DataFrame:
+    """The first and the last k rows by key, told apart by ``part``; a smaller table shows its rows in both."""
+    head = table.orderBy(key).limit(k).withColumn("part", F.lit("head"))
+    return head.unionByName(table.orderBy(F.desc(key)).limit(k).withColumn("part", F.lit("tail")))
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str = "entity_id") -> DataFrame:
     """Ids that two tables share."""
     return a.select(key).intersect(b.select(key))

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkforge.functions.text import source_of
+from linkforge.runtime import exists
 
 #: Examples shown of a broken rule.
 EXAMPLES = 5
+#: Characters of an example; what is longer is cut.
+LONGEST = 200
 HEADERS = {"matching": ("source1_entity_id", "matched_entity_ids"), "candidates": ("source1_entity_id", "candidate_entity_ids")}
 
 
@@ -37,7 +40,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def _broken(rows: DataFrame, rule: str, level: str, what: Column) -> DataFrame:
     """(rule, level, x): one row for every time that a rule is broken."""
-    return rows.select(F.lit(rule).alias("rule"), F.lit(level).alias("level"), what.cast("string").alias("x"))
+    return rows.select(F.lit(rule).alias("rule"), F.lit(level).alias("level"), F.substring(what.cast("string"), 1, LONGEST).alias("x"))
 
 
 def _issues(broken: list[DataFrame]) -> DataFrame:
@@ -49,7 +52,7 @@ def _issues(broken: list[DataFrame]) -> DataFrame:
     per = reduce(DataFrame.unionAll, broken).groupBy("rule", "level", "x").agg(F.count(F.lit(1)).alias("n"))
     total = per.groupBy("rule", "level").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("rule").orderBy("x"))
-    first = per.where(F.length("x") < 200).select("rule", "x", place.alias("place")).where(F.col("place") <= EXAMPLES)
+    first = per.select("rule", "x", place.alias("place")).where(F.col("place") <= EXAMPLES)
     first = first.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("x")), "|").alias("examples"))
     return total.join(first, "rule", "left").select("rule", "level", "n", F.coalesce("examples", F.lit("")).alias("examples"))
 
@@ -68,7 +71,9 @@ def list_issues(lines: DataFrame, kind: str, required: DataFrame, known: DataFra
     flat = shaped.select("s1_id", F.explode("ids").alias("id"))
     per = shaped.select("line_no", "s1_id", F.explode("ids").alias("id")).groupBy("line_no", "s1_id", "id").count()
     need = required.select("s1_id").distinct()
+    nothing = lines.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     out = [
+        _broken(nothing, "empty_file", "error", F.lit("")),
         _broken(first.where(comma), "comma_separated", "error", F.col("value")),
         _broken(first.where(~good & ~comma), "wrong_header", "error", F.col("value")),
         _broken(body.where(F.size("fields") != 2), "malformed_row", "error", F.col("line_no")),
@@ -84,6 +89,13 @@ def list_issues(lines: DataFrame, kind: str, required: DataFrame, known: DataFra
     return _issues(out)
 
 
+def file_issues(spark: SparkSession, path: str, kind: str, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Broken rules of the result list at ``path``; a file that is not there breaks one rule and no other is looked at."""
+    if exists(spark, path):
+        return list_issues(read_lines(spark, path), kind, required, known)
+    return spark.createDataFrame([("missing_file", "error", 1, path)], "rule string, level string, n long, examples string")
+
+
 def last_lists(lines: DataFrame) -> DataFrame:
     """(s1_id, target_id) of the last row of every S1 id."""
     shaped = parse_lines(lines).where("line_no > 1").where(F.size("fields") == 2)

@@ -124,6 +124,34 @@ def block_name_union(spark, d):
     return candidates.union_runs(runs)
 
 
+#: Accented names: composed, decomposed and in other case, by the id's last digits.
+_ACCENTED = "case cast(split_part(entity_id, '-', 2) as bigint) % 3 when 0 then replace(business_name, 'Customer', 'Café Zürich') when 1 then replace(business_name, 'Customer', 'Cafe\u0301 ZU\u0308RICH') else replace(business_name, 'Customer', 'मुंबई Straße') end"
+_SAFE = "trim(regexp_replace(replace(lower(nfc_normalize(business_name)), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+_ACCENTS = tuple(
+    f"a{n} as (select id, nm, trim(regexp_replace(regexp_replace(nm, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as cm, cc from (select entity_id as id, {_SAFE} as nm, {o.safe('country')} as cc from (select * replace ({_ACCENTED} as business_name) from er_s{n})))"
+    for n in (1, 2)
+)
+
+
+def _accented(spark, d, n: int) -> DataFrame:
+    return postings.prepare(fixture(spark, d, f"er_s{n}").withColumn("business_name", F.expr(_ACCENTED)))
+
+
+def _accented_strategy(name: str, s: Strategy) -> None:
+    def run(spark, d):
+        return compile_strategy(s, _accented(spark, d, 1), _accented(spark, d, 2))
+
+    cap = f"join f on f.k = b.k and f.n <= {s.cap}" if s.cap else ""
+    same = "and a.cc = b.cc and a.cc <> ''" if s.country_aware else ""
+    ctes = [*_ACCENTS, o.posts("p1", "a1", s.family), o.posts("p2", "a2", s.family), o.freq("f", "p2")]
+    query(name, o.fix(f"select distinct a.id as s1_id, b.id as target_id from p1 a join p2 b on a.k = b.k {same} {cap}", *ctes))(run)
+
+
+_accented_strategy("block_name_beyond_ascii", Strategy("shared", "name"))
+_accented_strategy("block_compact_name_beyond_ascii", Strategy("shared", "compact_name"))
+_accented_strategy("block_token_beyond_ascii", Strategy("shared", "name_token_unicode", True, 10))
+
+
 def _family_pair(name: str, country: bool, how: str) -> None:
     def run(spark, d):
         return blocking.postal_and_number(entities(spark, d, 1), entities(spark, d, 2), 25, None, country, how)
@@ -186,6 +214,20 @@ def block_stats(spark, d):
     return postings.block_statistics(postings.block_sizes(postings.postings(entities(spark, d, 2), "address_token")))
 
 
+_REPORTED = ("address_token", "postal", "number")
+
+
+def _report_sql(f: str) -> str:
+    return "(" + o.fix(f"select '{f}' as family, (select count(*) from f) as distinct_keys, (select count(*) from f where n <= 25) as keys_up_to_cap, count(*) as blocks, max(n) as max_block, count(*) filter (where n > 100) as over_100, count(*) filter (where n > 1000) as over_1000, count(*) filter (where n > 10000) as over_10000, quantile_cont(n, 0.95)::double as p95, quantile_cont(n, 0.99)::double as p99 from b", o.posts("p", "n2", f), o.freq("f", "p"), "b as (select cc, k, count(*) as n from p where cc <> '' group by cc, k)") + ")"
+
+
+@query("block_report", " union all ".join(_report_sql(f) for f in _REPORTED))
+def block_report(spark, d):
+    e = entities(spark, d, 2)
+    rows = [postings.block_report(e, f, 25) for f in _REPORTED]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("signal_stats", " union all ".join("(" + o.fix(f"select '{f}' as signal, count(*) as rows, count(*) filter (where n > 0) as with_signal, count(*) filter (where n > 1) as with_multiple, cast(sum(n) as bigint) as occurrences, (select count(distinct k) from p) as distinct_keys from (select len(list_distinct({o.KEYS[f]})) as n from n2)", o.posts("p", "n2", f)) + ")" for f in ("postal", "number")))
 def signal_stats(spark, d):
     e = entities(spark, d, 2)
@@ -271,6 +313,7 @@ def _marginal_sql() -> str:
         rows.append(f"""select '{n}' as stage, cast(sum(b.h - a.h) as bigint) as new_pairs, count(*) filter (where a.h < a.t and b.h = b.t) as new_complete,
   cast(sum(a.n) as bigint) as before, cast(sum(b.n) as bigint) as after, cast(sum(b.n - a.n) as bigint) as added,
   coalesce(sum(b.h - a.h)::double / nullif(sum(a.t), 0), 0) as marginal_recall, sum(b.n - a.n)::double / nullif(sum(b.h - a.h), 0) as cost,
+  sum(b.n)::double / nullif(sum(a.n), 0) as growth, cast(sum(b.h - a.h) * 1000000 as bigint)::double / nullif(sum(a.t) * sum(b.n - a.n), 0) as recall_per_million,
   cast(sum(a.t - a.h) as bigint) as missed_before, coalesce(sum(b.h - a.h)::double / nullif(sum(a.t - a.h), 0), 0) as share_of_missed
 from ({o.per_entity(f"u{i - 1}")}) a join ({o.per_entity(f"u{i}")}) b using (s1_id)""")
     return o.fix(" union all ".join(rows), *_stage_ctes())
@@ -450,7 +493,12 @@ def source_prefix(spark, d):
     return quality.prefixes(tables[0].unionAll(tables[1]).unionAll(tables[2]))
 
 
-@query("non_ascii_characters", "select c as character, count(*) as n from (select unnest(string_split(text, '')) as c from documents) where regexp_matches(c, '[^\\x00-\\x7F]') group by c")
+@query("token_counts", o.fix("select len(list_filter(string_split(cm, ' '), lambda t: t <> '')) as tokens, count(*) as rows from n2 group by 1"))
+def token_counts(spark, d):
+    return quality.token_counts(entities(spark, d, 2), "name_compact")
+
+
+@query("non_ascii_characters", "select c as character, count(*) as n, count(distinct doc_id) as rows from (select doc_id, unnest(string_split(text, '')) as c from documents) where regexp_matches(c, '[^\\x00-\\x7F]') group by c")
 def non_ascii_characters(spark, d):
     return quality.non_ascii_characters(documents(spark, d), "text")
 
@@ -543,6 +591,41 @@ def component_sizes(spark, d):
     return quality.component_sizes(quality.components(_shared_truth(spark, d)))
 
 
+_EXTENTS = (
+    "l as (select s1_id, min(reach) as component from r group by s1_id)",
+    "x as (select component, s1_id as node from l union select component, target_id from l join sh using (s1_id))",
+    "ex as (select component, count(*) filter (where starts_with(node, 'S1-')) as s1, count(*) filter (where starts_with(node, 'S2-')) as s2, count(*) filter (where starts_with(node, 'S3-')) as s3 from x group by component)",
+)
+
+
+@query("component_extents", o.fix("select component, s1, s2, s3 from ex", _SHARED_TRUTH, *_REACH, *_EXTENTS))
+def component_extents(spark, d):
+    return quality.component_extents(_shared_truth(spark, d))
+
+
+@query("largest_components", o.fix("select count(*) as components, max(s1) as largest_s1, max(s2) as largest_s2, max(s3) as largest_s3, max(s2 + s3) as largest_targets, max(s1 + s2 + s3) as largest_all from ex", _SHARED_TRUTH, *_REACH, *_EXTENTS))
+def largest_components(spark, d):
+    return quality.largest_components(quality.component_extents(_shared_truth(spark, d)))
+
+
+@query("first_match", o.fix("select s1_id, min(target_id) as target_id from er_truth where s1_id in (select entity_id from er_s1) group by 1"))
+def first_match(spark, d):
+    return quality.first_match(_truth_lists(spark, d))
+
+
+@query("preview", o.fix("select 'head' as part, * from (select * from er_s2 order by entity_id limit 5) union all select 'tail', * from (select * from er_s2 order by entity_id desc limit 5)"))
+def preview(spark, d):
+    return quality.preview(fixture(spark, d, "er_s2"), 5)
+
+
+_LENGTH = "(select round(avg(length({f})), 6) as mean, quantile_cont(length({f}), 0.5)::double as median from {t})"
+
+
+@query("length_shift", o.fix(" union all ".join(f"select '{f}' as field, a.mean as train_mean, b.mean as test_mean, a.median as train_median, b.median as test_median, round(b.mean - a.mean, 6) as mean_difference from {_LENGTH.format(f=f, t='er_s1')} a, {_LENGTH.format(f=f, t='er_s2')} b" for f in ("business_name", "business_address"))))
+def length_shift(spark, d):
+    return quality.length_shift(fixture(spark, d, "er_s1"), fixture(spark, d, "er_s2"), ["business_name", "business_address"])
+
+
 @query("target_reuse", o.fix("select target_id, count(*) as n from sh group by 1 having count(*) > 1", _SHARED_TRUTH))
 def target_reuse(spark, d):
     return quality.reuse(_shared_truth(spark, d))
@@ -606,6 +689,33 @@ def macro_f05(spark, d):
     return out.withColumn("macro_f05", F.round("macro_f05", 9))
 
 
+def _first(k: int) -> str:
+    return f"k{k} as (select s1_id, target_id from (select *, row_number() over (partition by s1_id order by score desc, target_id) as rank from (select *, {_SCORE} as score from fx)) where rank <= {k})"
+
+
+@query(
+    "grouped_metrics",
+    o.fix(
+        "select sum(p.h)::double / sum(p.n) as pair_precision, sum(p.h)::double / sum(p.t) as pair_recall, 2 * sum(p.h)::double / (sum(p.n) + sum(p.t)) as pair_f, "
+        "count(*) filter (where a.h > 0)::double / count(*) filter (where p.t > 0) as top_1_accuracy, count(*) filter (where b.h > 0)::double / count(*) filter (where p.t > 0) as top_k_accuracy, "
+        "count(*) filter (where p.h = p.t)::double / count(*) as complete_entity_recall, count(*) filter (where p.n = 0)::double / count(*) as abstention_rate, "
+        "count(*) filter (where p.t = 0 and p.n > 0)::double / count(*) as false_alarm_rate, sum(p.n)::double / sum(c.n) as conversion, "
+        "count(*) filter (where c.n = 0)::double / count(*) as zero_candidate_rate, count(*) filter (where c.n > 0 and c.h < c.t)::double / count(*) as incomplete_coverage_rate "
+        f"from ({o.per_entity('e')}) c join ({o.per_entity('mt')}) p using (s1_id) join ({o.per_entity('k1')}) a using (s1_id) join ({o.per_entity('k3')}) b using (s1_id)",
+        o.truth(), *_NAME_TOKEN, _FEATURES, _MATCH, _first(1), _first(3),
+    ),
+)
+def grouped_metrics(spark, d):
+    own = cut(_features(spark, d), "features")
+    ranked = features.rank(features.score(own).withColumn("score", F.round("score", 7)), 3)
+    return metrics.grouped_metrics(universe(spark, d), truth(spark, d), own.select("s1_id", "target_id"), features.match_signals(own), ranked, 3)
+
+
+@query("pair_provenance", o.fix("select s1_id, target_id, " + ", ".join(f"cast(max(case when i = {i} then 1 else 0 end) as integer) as from_{n}" for i, n in enumerate(_NAMES)) + ", cast(count(*) as integer) as family_count from (" + " union all ".join(f"select s1_id, target_id, {i} as i from e{i}" for i in range(len(_NAMES))) + ") group by 1, 2", *_stage_ctes()))
+def pair_provenance(spark, d):
+    return features.provenance(candidates.tag(list(stages(spark, d).values())), _NAMES)
+
+
 @query("cost_model", o.fix("select s.stage, ms, pair_bytes, candidate_pairs * ms / 1000 as seconds, candidate_pairs * pair_bytes / 1073741824.0::double as gib from (" + _metric_rows("u") + ") s, (select unnest([0.1::double, 1.0::double, 5.0::double]) as ms), (select unnest([128, 512, 2048]) as pair_bytes)", *_stage_ctes()))
 def cost_model(spark, d):
     return metrics.cost_model(metrics_cumulative(spark, d), [0.1, 1.0, 5.0], [128, 512, 2048])
@@ -638,8 +748,9 @@ def sample_per_source(spark, d):
 def persist_roundtrip(spark, d):
     path, u = new_path(spark, "stages"), universe(spark, d)
     signals = postings.postings(entities(spark, d, 1), "name_token_unicode").select("id")
-    persist.persist(u, _name_token_edges(spark, d), path, "name_token", "S2", 25, signals)
-    persist.validate(spark, path, "name_token", "S2", u)
+    inputs = {f"S{n}": fixture(spark, d, f"er_s{n}") for n in (1, 2)}
+    persist.persist(u, _name_token_edges(spark, d), path, "name_token", "S2", 25, signals, inputs=inputs)
+    persist.validate(spark, path, "name_token", "S2", u, inputs)
     return persist.replay(spark, path, "name_token", "S2").select("s1_id", "target_id", F.col("candidate_order").cast("long").alias("candidate_order"))
 
 
