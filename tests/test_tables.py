@@ -217,7 +217,7 @@ def test_registry(spark, sf):
     assert entry.entry(spark).count() == 4
 
 
-@pytest.mark.parametrize("name", ["block_country_name", "threshold_sweep", "diagnose_pairs", "metrics_exact_name", "truth_integrity", "collision_stats", "persist_roundtrip", "norm_core"])
+@pytest.mark.parametrize("name", ["block_country_name", "block_compact_name_beyond_ascii", "grouped_metrics", "threshold_sweep", "diagnose_pairs", "metrics_exact_name", "truth_integrity", "collision_stats", "persist_roundtrip", "norm_core"])
 def test_queries_equal_their_oracle(spark, sf, name):
     import duckdb
 
