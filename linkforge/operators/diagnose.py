@@ -18,17 +18,23 @@ FLAGS = ("token_recoverable", "address_recoverable", "approximate_recoverable",
 
 
 def pair_frame(pairs: DataFrame, s1: DataFrame, target: DataFrame) -> DataFrame:
-    """Pairs with both sides' representations as columns a_* and b_*; tables are prepared ones."""
-    cols = ["business_name", "name_clean", "name_compact", "name_core", "address_clean", "country_clean"]
-    left = s1.select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = target.select(F.col("entity_id").alias("target_id"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    """Pairs with both sides' representations as columns a_* and b_*; tables are prepared ones.
+
+    Words, numbers and postal codes are taken once per entity, before the join; those that nothing
+    reads are pruned.
+    """
+    own = {c: F.col(c) for c in ("business_name", "name_clean", "name_compact", "name_core", "address_clean", "country_clean")}
+    clean = F.col("address_clean")
+    own |= {"name_words": text.split_words(F.col("name_compact")), "address_tokens": address.tokens(clean), "numbers": address.numbers(clean), "postal": address.postal(clean)}
+    left = s1.select(F.col("entity_id").alias("s1_id"), *[c.alias(f"a_{n}") for n, c in own.items()])
+    right = target.select(F.col("entity_id").alias("target_id"), *[c.alias(f"b_{n}") for n, c in own.items()])
     return pairs.join(left, "s1_id").join(right, "target_id")
 
 
 def diagnose(frame: DataFrame) -> DataFrame:
     """``frame`` with name and address similarity, recoverability flags and one category per pair."""
     a, b = F.col("a_name_compact"), F.col("b_name_compact")
-    out = frame.withColumns({"ta": text.split_words(a), "tb": text.split_words(b), "aa": address.tokens(F.col("a_address_clean")), "ab": address.tokens(F.col("b_address_clean"))})
+    out = frame.withColumns({"ta": F.col("a_name_words"), "tb": F.col("b_name_words"), "aa": F.col("a_address_tokens"), "ab": F.col("b_address_tokens")})
     out = out.withColumns(
         {
             "name_similarity": text.levenshtein_similarity(a, b),

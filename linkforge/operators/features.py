@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkforge.functions import address, text
+from linkforge.functions import text
 
 
 def _known(a: Column, b: Column) -> Column:
@@ -16,10 +16,9 @@ def _known(a: Column, b: Column) -> Column:
 def pair_features(frame: DataFrame) -> DataFrame:
     """Features of candidate pairs (columns a_*, b_*); a missing value never equals anything."""
     na, nb, aa, ab = (F.col(c) for c in ("a_name_compact", "b_name_compact", "a_address_clean", "b_address_clean"))
-    ta, tb, da, db = text.split_words(na), text.split_words(nb), address.tokens(aa), address.tokens(ab)
+    ta, tb, da, db = (F.col(c) for c in ("a_name_words", "b_name_words", "a_address_tokens", "b_address_tokens"))
     name, addr = _known(na, nb), _known(aa, ab)
-    pa, pb = address.postal(aa), address.postal(ab)
-    qa, qb = address.numbers(aa), address.numbers(ab)
+    pa, pb, qa, qb = (F.col(c) for c in ("a_postal", "b_postal", "a_numbers", "b_numbers"))
     share = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(x)), F.lit(0.0))
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return frame.select(
