@@ -1,9 +1,13 @@
 """Embedding near duplicates: spherical k-means cells and blocked cosine products.
 
-Equal vectors of a label are one vertex with a multiplicity. Spherical k-means, fitted on a bounded
-sample (``FIT_ROWS``), gives every vector a home cell, and the vector visits each further cell whose
-centre is at most ``MARGIN`` less similar than the home's: near pairs that a cell border parts meet
-in one of the two homes. Vectors are compared only with equal label and length, in double
+Equal vectors of a label are one vertex with a multiplicity. Spherical k-means, fitted on a sample
+bounded in bytes (``FIT_BYTES``), gives every vector a home cell. Two unit vectors of cosine t are
+sqrt(2 - 2t) apart, so where cell borders part them one of the two is at most sqrt((1 - t) / 2) times
+the distance of the two homes' centres less similar to the other's centre than to its own: the vector
+visits the cells within that reach, but none more than ``margin`` less similar than its home. With
+``margin=None`` no pair can be missed; the default spares visits, mostly between far centres, and its
+recall is measured. Cells hold about ``CELL_ROWS`` vectors up to ``MAX_CELLS`` cells; beyond, their
+number grows with the square root of a label's vectors. Vectors are compared only with equal label and length, in double
 precision, as matrix products of row blocks. A cell with more than ``CHUNK`` rows is dealt out as
 pairs of chunks. A link is credited once per vertex, and leaves a task as a partial count and as a
 spanning forest; components are then found on the forest edges, and the smallest id of a component
@@ -17,6 +21,7 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +35,15 @@ from linkforge.runtime import cut
 
 COSINE = 0.93
 MARGIN = 0.15
-#: Vectors that a cell is meant to hold, the most cells, and the sample that k-means is fitted on.
+#: Vectors that a cell is meant to hold, and the cells from which on their number grows with the square root.
 CELL_ROWS = 256
 MAX_CELLS = 1024
+#: The sample that k-means is fitted on: rows at least, rows a cell, and bytes of all its components at most.
 FIT_ROWS = 16_384
+FIT_PER_CELL = 16
+FIT_BYTES = 128 << 20
+#: Similarities that are held at once.
+BLOCK = 1 << 22
 ROUNDS = 8
 CHUNK = 2048
 SEED = 11
@@ -54,13 +64,19 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _blocks(n: int, k: int) -> Iterator[slice]:
+    """Runs of rows whose similarities to ``k`` centres fit a block."""
+    step = max(1, BLOCK // k)
+    return (slice(a, min(a + step, n)) for a in range(0, n, step))
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
     """Unit centres of the unit rows ``x``."""
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
     centres = x[np.sort(rng.choice(len(x), k, replace=False))]
     for _ in range(rounds):
-        own = np.concatenate([(x[a : a + 4096] @ centres.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+        own = np.concatenate([(x[b] @ centres.T).argmax(axis=1) for b in _blocks(len(x), k)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
@@ -68,10 +84,16 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SE
     return centres
 
 
+def cell_count(largest: int, cell_rows: int = CELL_ROWS) -> int:
+    """Cells for a label of ``largest`` vectors."""
+    return max(1, min(-(-largest // cell_rows), max(MAX_CELLS, math.isqrt(largest))))
+
+
 def fit_cells(nodes: DataFrame, cell_rows: int = CELL_ROWS, fit_rows: int = FIT_ROWS) -> dict[int, np.ndarray]:
-    """Centres by vector length, fitted on at most ``fit_rows`` vertices chosen by a hash of the id."""
-    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    cells = max(1, min(MAX_CELLS, -(-largest // cell_rows)))
+    """Centres by vector length, fitted on a bounded sample of vertices chosen by a hash of the id."""
+    about = nodes.groupBy("label", "dim").count().agg(F.max("count").alias("largest"), F.max("dim").alias("dim")).first()
+    cells = cell_count(about["largest"] or 0, cell_rows)
+    fit_rows = max(1, min(max(fit_rows, FIT_PER_CELL * cells), FIT_BYTES // (8 * (about["dim"] or 1))))
     got = nodes.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(fit_rows).select("dim", "v").toArrow()
     out = {}
     for dim in set(got.column("dim").to_pylist()):
@@ -85,7 +107,23 @@ def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def assign_cells(nodes: DataFrame, centres: dict[int, np.ndarray], margin: float = MARGIN) -> DataFrame:
+def _visits(x: np.ndarray, c: np.ndarray, margin: float | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell) of all visits of the unit rows ``x``, sorted, and each row's home."""
+    rows, cells, homes = [], [], []
+    for b in _blocks(len(x), len(c)):
+        sims = x[b] @ c.T
+        home = sims.argmax(axis=1)
+        gap = sims[np.arange(len(home)), home][:, None] - sims
+        apart = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0))  # the centres' distances, never all of them at once
+        reach = apart * math.sqrt(max(0.0, 1 - cosine) / 2) + 1e-9
+        row, cell = np.nonzero(gap <= (reach if margin is None else np.minimum(reach, margin)))
+        rows.append(row + b.start)
+        cells.append(cell)
+        homes.append(home)
+    return np.concatenate(rows), np.concatenate(cells).astype(np.int32), np.concatenate(homes).astype(np.int32)
+
+
+def assign_cells(nodes: DataFrame, centres: dict[int, np.ndarray], margin: float | None = MARGIN, cosine: float = COSINE) -> DataFrame:
     """A row per vertex and cell: (label, dim, cell, node, times, home, visits, v)."""
     kind, inner = nodes.schema["label"].dataType.simpleString(), nodes.schema["v"].dataType.simpleString()
 
@@ -95,17 +133,18 @@ def assign_cells(nodes: DataFrame, centres: dict[int, np.ndarray], margin: float
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 c = centres.get(dim)
-                n = part.num_rows
-                sims = _unit(_matrix(part.column(4), dim)) @ c.T if c is not None else np.ones((n, 1))
-                near = sims >= sims.max(axis=1, keepdims=True) - margin
-                home = sims.argmax(axis=1).astype(np.int32)
-                row, cell = np.nonzero(near)
-                offsets = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
-                visits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell.astype(np.int32)))
-                at = pa.array(row)
-                cols = [part.column(0).take(at), part.column(1).take(at), pa.array(cell.astype(np.int32)), part.column(2).take(at), part.column(3).take(at), pa.array(home[row]), visits.take(at), part.column(4).take(at)]
+                if c is None:  # a length that the sample lacks has one cell
+                    n = part.num_rows
+                    row, cell, home = np.arange(n), np.zeros(n, np.int32), np.zeros(n, np.int32)
+                else:
+                    row, cell, home = _visits(_unit(_matrix(part.column(4), dim)), c, margin, cosine)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
+                visits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell))
                 for a in range(0, len(row), 8192):
-                    yield pa.RecordBatch.from_arrays([x.slice(a, 8192) for x in cols], names=["label", "dim", "cell", "node", "times", "home", "visits", "v"])
+                    at = pa.array(row[a : a + 8192])
+                    own = [part.column(k).take(at) for k in range(2)]
+                    cols = [*own, pa.array(cell[a : a + 8192]), part.column(2).take(at), part.column(3).take(at), pa.array(home[row[a : a + 8192]]), visits.take(at), part.column(4).take(at)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["label", "dim", "cell", "node", "times", "home", "visits", "v"])
 
     return map_arrow(nodes, run, f"label {kind}, dim int, cell int, node long, times long, home int, visits array<int>, v {inner}")
 
@@ -119,8 +158,11 @@ def _compare(t: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, list[t
     lists = t.column("visits").chunk(0)
     spot = np.repeat(np.arange(len(nodes)), np.diff(lists.offsets.to_numpy()))
     cells = lists.flatten().to_numpy()
-    visits = np.zeros((len(nodes), int(max(cells.max(), home.max())) + 1), bool)
-    visits[spot, cells] = True
+    homes, home_at = np.unique(home, return_inverse=True)
+    place = np.minimum(np.searchsorted(homes, cells), len(homes) - 1)
+    known = homes[place] == cells
+    visits = np.zeros((len(nodes), len(homes)), bool)  # whose homes among these a vector visits
+    visits[spot[known], place[known]] = True
     is_home = home == cell
     across = t.column("x")[0].as_py() != t.column("y")[0].as_py()
     links = np.zeros(len(nodes), np.int64)
@@ -135,7 +177,7 @@ def _compare(t: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, list[t
         if hit.any():
             packed[rows] = np.packbits(hit, axis=1, bitorder="little")
             # A visitor is credited with homes; a home with homes, and with visitors whose home it does not visit.
-            credit = hit & (is_home[None, :] | (is_home[rows, None] & ~visits[rows][:, home]))
+            credit = hit & (is_home[None, :] | (is_home[rows, None] & ~visits[rows][:, home_at]))
             links[rows] = credit @ times
     return nodes, links, forest(packed, len(nodes))
 
@@ -178,11 +220,11 @@ def cell_links(placed: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) ->
     return map_arrow(dealt.repartition(*order).sortWithinPartitions(*order), run, "a long, b long, n long")
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, margin: float = MARGIN, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, margin: float | None = MARGIN, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per row of ``rows`` (vec_id, label, embedding): vec_id, n_links, component_id, kept."""
     rows = rows.select("vec_id", "label", "embedding")
     nodes = cut(vertices(rows), "nodes")
-    placed = cut(assign_cells(nodes, fit_cells(nodes, cell_rows), margin), "placed")
+    placed = cut(assign_cells(nodes, fit_cells(nodes, cell_rows), margin, cosine), "placed")
     found = cut(cell_links(placed, cosine), "links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     groups = connected_components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "member")

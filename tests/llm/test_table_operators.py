@@ -290,11 +290,11 @@ def _vectors(spark, n=400, dim=16, seed=1):
     return spark.createDataFrame(rows, VECTORS), rows
 
 
-@pytest.mark.parametrize("chunk", [2048, 16])
-def test_embedding_links_against_brute_force(spark, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "margin"), [(2048, embeddings.MARGIN), (16, embeddings.MARGIN), (2048, None), (16, None)])
+def test_embedding_links_against_brute_force(spark, chunk, margin, monkeypatch):
     table, rows = _vectors(spark)
     monkeypatch.setattr(embeddings.cell_links, "__defaults__", (embeddings.COSINE, chunk))
-    got = sorted(embeddings.near_duplicates(table, cell_rows=32).collect(), key=str)
+    got = sorted(embeddings.near_duplicates(table, margin=margin, cell_rows=16).collect(), key=str)
     good = [k for k, r in enumerate(rows) if r[0] is not None and r[1] and r[2] is not None and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
     links = [(a, b) for a, b in combinations(good, 2) if rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]) and _cos(rows[a][1], rows[b][1]) >= 0.93]
     degree, up = Counter(), {r[0]: r[0] for r in rows}
@@ -312,7 +312,7 @@ def test_embedding_links_against_brute_force(spark, chunk, monkeypatch):
     want = sorted([(r[0], degree[k], find(r[0]) if r[0] is not None else None, r[0] is not None and find(r[0]) == r[0]) for k, r in enumerate(rows)], key=str)
     found = sum(r["n_links"] for r in got)
     assert found >= 0.99 * sum(degree.values())  # recall; nothing is linked that is not
-    if found == sum(degree.values()):
+    if margin is None or found == sum(degree.values()):
         assert sorted(map(tuple, got), key=str) == want
 
 
@@ -321,6 +321,23 @@ def _cos(a, b):
     return float(a @ b / np.sqrt((a @ a) * (b @ b)))
 
 
+def test_visits_miss_no_pair():
+    rng = np.random.default_rng(3)
+    x = embeddings._unit(rng.normal(size=(3000, 6)))
+    c = embeddings.spherical_kmeans(x[:1000], 40)
+    row, cell, home = embeddings._visits(x, c, None, 0.93)
+    seen = np.zeros((len(x), len(c)), bool)
+    seen[row, cell] = True
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert len(a) > 5_000 and seen[np.arange(len(x)), home].all() and (seen[a, home[b]] | seen[b, home[a]]).all()
+    assert seen.mean() < 0.5  # and yet most cells are not visited
+
+
+def test_cells_grow():
+    count = [embeddings.cell_count(n) for n in (0, 1, 257, 262_144, 1 << 20, 100_000_000, 10**9)]
+    assert count == [1, 1, 2, 1024, 1024, 10_000, 31_622]
+
+
 def test_embeddings_on_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
