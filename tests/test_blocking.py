@@ -139,3 +139,20 @@ def test_cost_model(spark):
     r = metrics.cost_model(m, [2.0], [512]).first()
     assert (r["seconds"], r["gib"]) == (2.0, pytest.approx(0.0004768371582))
     assert F is not None
+
+
+def above_join(df):
+    """What the optimised plan does with pairs once they are joined."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+@pytest.mark.parametrize("country", [True])
+def test_pairs_are_not_moved_to_be_told_apart(spark, country):
+    schema = "entity_id string, business_name string, business_address string, country string"
+    a = [("S1-1", "x", "12 Elm 78701, 78702", "US"), ("S1-1", "x", "12 Elm 78702, 78703", "India"), ("S1-2", "y", "5 Oak 78703", ""), (None, "z", "9 Ash 78701", "US")]
+    b = [("S2-1", "x", "12 Elm 78702, 78701", "US"), ("S2-1", "x", "7 Elm 78703", "India"), ("S2-2", "y", "5 Oak 78703", "France"), (None, "z", "9 Ash 78701", "US")]
+    pair = tuple(postings.prepare(spark.createDataFrame(r, schema)) for r in (a, b))
+    got = blocking.shared_key(*pair, "postal", country)
+    assert "Aggregate" not in above_join(got)
+    rows = [(r["s1_id"], r["target_id"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == plain(pair, "postal", country)
