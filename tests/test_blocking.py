@@ -156,3 +156,14 @@ def test_pairs_are_not_moved_to_be_told_apart(spark, country):
     assert "Aggregate" not in above_join(got)
     rows = [(r["s1_id"], r["target_id"]) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == plain(pair, "postal", country)
+
+
+@pytest.mark.parametrize("country", [False, True])
+@pytest.mark.parametrize("caps", [(2, None), (None, 2), (None, None), (1, 1)])
+def test_postal_codes_and_numbers_meet_once(sources, country, caps):
+    n, p = plain(sources, "number", country, caps[0]), plain(sources, "postal", country, caps[1])
+    for how, want in (("intersection", n & p), ("union", n | p)):
+        got = blocking.postal_and_number(*sources, *caps, country, how)
+        assert "Aggregate" not in above_join(got) and "Union" not in above_join(got)
+        rows = [(r["s1_id"], r["target_id"]) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
