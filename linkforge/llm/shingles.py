@@ -21,6 +21,7 @@ class; null ids come last; an empty table gives no rows; further columns are ign
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ CROWD, CHUNK = 32, 1024
 #: Bits of the filter that leaves most texts out of the second reading, in words of 4,096 bytes.
 FILTER_BITS = 1 << 26
 _WORD_BITS = 32_768
+#: Sets that a task remembers while it compares pairs.
+REMEMBERED = 64
 #: Names that no table of documents has.
 _ID, _CONTENT = simhash._ID, simhash._CONTENT
 
@@ -96,12 +99,33 @@ def _keys(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar."""
+    """Those of the pairs (a, b) whose whole sets are similar; texts travel packed, which is far less than their hashes."""
     p, q = SIMILARITY
-    a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(shared * (p + q) >= (F.size("set_a") + F.size("set_b")) * p).select("a", "b")
+    a, b = (sets.select(F.col("node").alias(s), F.col("packed").alias(f"text_{s}")) for s in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def own(node: int, packed: pa.Scalar) -> np.ndarray:
+            found = known.pop(node, None)
+            if found is None:
+                found = shingles(zlib.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
+                if len(known) >= REMEMBERED:
+                    del known[next(iter(known))]  # the one used longest ago
+            known[node] = found
+            return found
+
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                one, two = own(x, batch.column(2)[i]), own(y, batch.column(3)[i])
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                if shared * (p + q) >= (len(one) + len(two)) * p:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    return map_arrow(both, run, "a long, b long")
 
 
 def _fits() -> Column:
@@ -218,7 +242,7 @@ def _links(blocks: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, hashes) of the wanted (id, content): a second reading that skips texts by a filter.
+    """(node, packed) of the wanted (id, content), the words of the text compressed: a second reading that skips texts by a filter.
 
     The filter is a bit map of fixed size over ids and contents; whatever it lets through beside the
     wanted rows costs work but changes nothing.
@@ -235,12 +259,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFra
         for batch in batches:
             h = batch.column(0).to_numpy()
             for i in np.flatnonzero(known[h >> 3] >> (h & 7) & 1).tolist():
-                own = shingles(batch.column(1)[i].as_py() or "")
-                yield pa.RecordBatch.from_arrays([pa.array([_node(own)]), pa.array([own], pa.list_(pa.int64()))], names=["node", "hashes"])
+                words = (batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                packed = zlib.compress(b" ".join(words), 6)
+                own = shingles(b" ".join(words).decode("utf-8", "surrogatepass"))
+                yield pa.RecordBatch.from_arrays([pa.array([_node(own)]), pa.array([packed], pa.binary())], names=["node", "packed"])
 
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     read = docs.select(F.pmod(F.xxhash64(F.col(doc_id), content), F.lit(FILTER_BITS)).alias("h"), text)
-    return map_arrow(read, run, "node long, hashes array<long>").dropDuplicates(["node"])
+    return map_arrow(read, run, "node long, packed binary").dropDuplicates(["node"])
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -73,3 +73,22 @@ def test_stage_on_odd_tables(spark, odd_docs, no_docs):
     kept = [r["doc_id"] for r in shingles.without_near_duplicates(odd_docs).collect()]
     assert sorted(kept, key=str) == [1, 3, 6, 8, 9, None]
     assert shingles.without_near_duplicates(no_docs).count() == 0
+
+
+def test_sets_travel_packed(spark):
+    from pyspark.sql import functions as F
+
+    from linkforge.llm import shingles as sh
+
+    body = " ".join(f"Word{i}" for i in range(400))
+    rows = [(1, body), (2, body.replace("Word7 ", "other ")), (3, "\t" + body.lower() + "\n"), (4, None), (5, " \n"), (6, "Ünï ß " * 30), (7, "only two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    sets = sh._sets(docs, docs.select(F.col("doc_id").alias(sh._ID), content.alias(sh._CONTENT)), "doc_id", "text").cache()
+    assert {r["node"] for r in sets.collect()} == {sh._node(sh.shingles(t or "")) for _, t in rows}
+    size = sum(len(r["packed"]) for r in sets.collect())
+    assert size * 3 < sum(8 * len(sh.shingles(t or "")) for _, t in rows)  # well under the hashes
+    nodes = sets.select("node")
+    got = {(r["a"], r["b"]) for r in sh._similar(nodes.select(F.col("node").alias("a")).crossJoin(nodes.select(F.col("node").alias("b"))), sets).collect()}
+    own = {sh._node(sh.shingles(t or "")): set(sh.shingles(t or "").tolist()) for _, t in rows}
+    assert got == {(a, b) for a in own for b in own if 9 * len(own[a] & own[b]) >= 4 * (len(own[a]) + len(own[b]))}
