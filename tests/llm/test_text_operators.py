@@ -390,3 +390,15 @@ def test_hold_out_rule(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     got = {r[0]: r[1] for r in rows.select("doc_id", toxicity.held_out(rows.doc_id)).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
+
+
+def test_training_apart_gives_the_same_model_and_loads_no_spark():
+    import subprocess
+    import sys
+
+    texts = [f"word{i % 7} {'vile' if i % 2 else 'kind'} text {i}" for i in range(60)]
+    labels = [i % 2 for i in range(60)]
+    one, two = toxicity.train(texts, labels), toxicity.train_apart(texts, labels)
+    assert one.rows == two.rows and one.shift == two.shift and (one.table == two.table).all() and (one.out == two.out).all()
+    code = "import sys; import linkforge.llm.convolution; print('pyspark' in sys.modules or 'pyarrow' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"
