@@ -167,3 +167,11 @@ def test_postal_codes_and_numbers_meet_once(sources, country, caps):
         assert "Aggregate" not in above_join(got) and "Union" not in above_join(got)
         rows = [(r["s1_id"], r["target_id"]) for r in got.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+@pytest.mark.parametrize("name", ["candidate_families", "cost_model", "marginal_recovery", "metrics_by_stage", "metrics_cumulative", "metrics_cumulative_s3", "pair_provenance", "stage_tags"])
+def test_stages_never_join_postal_codes_alone(spark, sf, name):
+    from linkforge.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Intersect" not in plan and "place#" in plan
