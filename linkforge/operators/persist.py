@@ -40,19 +40,23 @@ def edge_table(edges: DataFrame, stage: str, target_source: str, threshold: int
 
     ``edges`` may carry ``stages`` bits; ``names`` then tells the blocking family of each bit, and
     without them the stage is the only family. ``signals`` (s1_id, signals) comes from ``availability``.
+    Edges that carry ``candidate_order`` are distinct and keep it.
     """
     if target_source not in ("S2", "S3"):
         raise ValueError(f"target must be S2 or S3: {target_source}")
-    if names:
+    done = ["candidate_order"] if "candidate_order" in edges.columns else []
+    if names and done:
+        own = edges.select("s1_id", "target_id", families_of(F.col("stages"), names).alias("blocking_families"), *done)
+    elif names:
         own = edges.groupBy("s1_id", "target_id").agg(F.bit_or("stages").alias("stages"))
         own = own.select("s1_id", "target_id", families_of(F.col("stages"), names).alias("blocking_families"))
     else:
-        own = edges.select("s1_id", "target_id").distinct().withColumn("blocking_families", F.array(F.lit(stage)))
+        own = (edges.select("s1_id", "target_id", *done) if done else edges.select("s1_id", "target_id").distinct()).withColumn("blocking_families", F.array(F.lit(stage)))
     if signals is not None:
         own = own.join(signals.select("s1_id", "signals"), "s1_id", "left")
     else:
         own = own.withColumn("signals", F.lit(None).cast(SIGNALS))
-    out = candidate_order(own)
+    out = own if done else candidate_order(own)
     return out.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(split_id).cast("string").alias("split_id"), F.lit(target_source).alias("target_source"), "s1_id", "target_id",
         F.lit(stage).alias("stage_id"), F.lit(threshold).cast("int").alias("threshold"), "blocking_families", F.col("signals").alias("signal_availability"), "candidate_order",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkforge.operators import blocking, candidates, metrics, postings
-from linkforge.plans.spec import Strategy, absorb, compile_strategy, covers
+from linkforge.plans.spec import Strategy, absorb, compile_stages, compile_strategy, covers
 
 S1 = [("S1-1", "Acme Foods Ltd", "12 Main St, 78701", "US"), ("S1-2", "Zeta Unseen", "34 Oak Rd, 411001", "India"), ("S1-3", "Acme Foods", "", ""), ("S1-4", "", "12 Main St", "US")]
 S2 = [
@@ -175,3 +175,45 @@ def test_stages_never_join_postal_codes_alone(spark, sf, name):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Intersect" not in plan and "place#" in plan
+
+
+STAGED = [("name_token_unicode", 2), ("address_token", 2), ("number", 2)]
+
+
+@pytest.mark.parametrize("country", [False, True])
+@pytest.mark.parametrize("alone", [False, True])
+def test_stages_come_from_one_join(spark, sources, country, alone):
+    of = [Strategy("shared", f, country, c) for f, c in STAGED] + [Strategy("postal_number", country_aware=country, cap=2)]
+    sets = [plain(sources, f, country, c) for f, c in STAGED]
+    sets.append(sets[2] & plain(sources, "postal", country))
+    of, sets = (of[3:], sets[3:]) if alone else (of, sets)
+    want = {(a, b, sum(1 << i for i, s in enumerate(sets) if (a, b) in s)) for a, b in set().union(*sets)}
+    true = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-3"), ("S1-2", "S2-5"), ("S1-9", "S2-9")], "s1_id string, target_id string")
+    got = compile_stages(of, *sources, true)
+    assert "Aggregate" not in above_join(got) and "Union" not in above_join(got)
+    rows = [(r["s1_id"], r["target_id"], r["stages"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {(r["s1_id"], r["target_id"]) for r in got.where(F.col("true")).collect()} == {r[:2] for r in want} & {("S1-1", "S2-1"), ("S1-2", "S2-3"), ("S1-2", "S2-5")}
+    ranked = [(r["s1_id"], r["target_id"], r["stages"], r["candidate_order"]) for r in compile_stages(of, *sources, ordered=True).collect()]
+    assert sorted(ranked) == [(*e, sum(o[0] == e[0] and o[1] < e[1] for o in want)) for e in sorted(want)]
+
+
+def test_entities_alike_are_ranked_once(spark):
+    schema = "entity_id string, business_name string, business_address string, country string"
+    a = [(f"S1-{i}", "Acme", "12 Elm", "US") for i in range(5)] + [(None, "Acme", "9 Ash", "US"), (None, "Zeta", "", "US"), ("S1-5", "Acme Zeta", "", "US"), ("S1-6", "Acme", "", "India")]
+    b = [("S2-1", "Acme", "12 Elm", "US"), ("S2-2", "Zeta", "9 Ash", "US"), ("S2-2", "Acme", "9 Ash", "US"), ("S2-3", "Zeta", "12 Oak", "US"), (None, "Acme", "12", "India")]
+    pair = tuple(postings.prepare(spark.createDataFrame(r, schema)) for r in (a, b))
+    of = [Strategy("shared", "name_token_unicode", True, 9), Strategy("shared", "number", True, 9)]
+    sets = [plain(pair, s.family, True, 9) for s in of]
+    want = {(x, y): sum(1 << i for i, s in enumerate(sets) if (x, y) in s) for x, y in sets[0] | sets[1]}
+    rows = [tuple(r) for r in compile_stages(of, *pair, ordered=True).select("s1_id", "target_id", "stages", "candidate_order").collect()]
+    assert len(rows) == len(want) and {r[:2]: r[2] for r in rows} == want
+    assert {r[:2]: r[3] for r in rows} == {(x, y): sum(o == x and (z or "") < (y or "") for o, z in want) for x, y in want}
+
+
+@pytest.mark.parametrize("name", ["candidate_families", "cost_model", "marginal_recovery", "metrics_by_stage", "metrics_cumulative", "metrics_cumulative_s3", "pair_provenance", "stage_tags"])
+def test_stages_are_not_grouped_or_joined_by_pair(spark, sf, name):
+    from linkforge.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Union" not in x and ("Aggregate [s1_id" in x and "target_id" in x.split("]")[0] or "Join FullOuter" in x)]
