@@ -17,6 +17,7 @@ are ignored. Whole texts are scored, however long, in one pass with bounded tabl
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = SEED) -> tuple[list[str], list[int], list[str | None]]:
-    """Texts, labels and languages of a bounded sample of rows that may be learned from."""
+def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """(text, _toxic, lang): a bounded sample of rows that may be learned from, in one partition."""
     own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     own = own.where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     order = [F.xxhash64(F.lit(seed), "_id"), F.col("_id")]
@@ -52,7 +53,12 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = S
     met = own_text.join(ids, F.col("doc_id") == F.col("_id"))
     one = met.groupBy("_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("own"))  # an id counts once, by its first text
     upto = F.sum(F.octet_length("own.text")).over(Window.orderBy(*order))  # over at most 2 * rows rows
-    got = one.withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).select("own.text", "_toxic", "own.lang").collect()
+    return one.withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).select("own.text", "_toxic", "own.lang").coalesce(1)
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = SEED) -> tuple[list[str], list[int], list[str | None]]:
+    """Texts, labels and languages of ``sampled``."""
+    got = sampled(docs, labels, rows, seed).collect()
     return [r["text"] for r in got], [r["_toxic"] for r in got], [r["lang"] for r in got]
 
 
@@ -82,7 +88,15 @@ def threshold(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train_apart(*sample(docs, labels))
+    """A model of the sample, trained by the task that gathers it; the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        own = pickle.dumps(train_apart(*([r[i] for r in rows] for i in range(3))))
+        yield pa.RecordBatch.from_arrays([pa.array([own], pa.binary())], names=["model"])
+
+    got = map_arrow(sampled(docs, labels), run, "model binary").first()  # no row where the sample has no partition
+    return pickle.loads(got["model"]) if got else train([], [])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -402,3 +402,12 @@ def test_training_apart_gives_the_same_model_and_loads_no_spark():
     assert one.rows == two.rows and one.shift == two.shift and (one.table == two.table).all() and (one.out == two.out).all()
     code = "import sys; import linkforge.llm.convolution; print('pyspark' in sys.modules or 'pyarrow' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"
+
+
+def test_model_is_trained_where_the_sample_is(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    want = toxicity.train(*toxicity.sample(docs, labels))
+    for name in ("sample", "train"):  # neither the texts nor the training come to the driver
+        monkeypatch.setattr(toxicity, name, None)
+    got = toxicity.fit(docs, labels)
+    assert got.rows == want.rows and got.shift == want.shift and got.thresholds == want.thresholds and (got.table == want.table).all() and (got.out == want.out).all()
