@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from linkforge.operators import diagnose, features, persist, postings, quality, sampling, validate
+from linkforge.operators import components, diagnose, features, persist, postings, quality, sampling, validate
 from linkforge.operators.components import connected_components
 from linkforge.runtime import new_path
 from linkforge.sources import tables
@@ -119,6 +119,23 @@ def test_examples_of_broken_rules_are_few_and_first(spark):
     assert (row["rule"], row["n"], row["examples"]) == ("missing_s1", 50, "S1-00|S1-01|S1-02|S1-03|S1-04")
 
 
+def test_small_graphs_take_one_task_and_large_ones_the_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(-300, 300) << 40, rng.randrange(-300, 300) << 40) for _ in range(280)] + [(i, i + 1) for i in range(40)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    monkeypatch.setattr(components, "ALONE", 0)
+    rounds = sorted(map(tuple, connected_components(df, "a", "b").collect()))
+    monkeypatch.undo()
+
+    def none(edges):
+        raise AssertionError("a small graph took a round")
+
+    monkeypatch.setattr(components, "_large_star", none)
+    alone = connected_components(df, "a", "b")
+    assert alone.rdd.getNumPartitions() == 1 and alone.dtypes == [("node", "bigint"), ("component", "bigint")]
+    assert sorted(map(tuple, alone.collect())) == rounds
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(4)
     for n, m in ((1, 0), (40, 30), (60, 59), (200, 150)):
