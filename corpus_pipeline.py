@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkforge.llm import mixing, packing, pii, shingles, toxicity
-from linkforge.runtime import cut
+from linkforge.runtime import cut, relieve
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's rejection threshold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    relieve(spark)  # the model has passed through the driver
     scored = toxicity.score(docs, model, "__linkforge_score")
     return scored.where(F.col("__linkforge_score") < toxicity.threshold(model)).select(*docs.columns)
 
